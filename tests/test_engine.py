@@ -8,7 +8,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logs import INT, Log, column, i4, s1, table, varchar
 from rowtide.cli import main
 from rowtide.cli import options as cli_options
 from rowtide.operators import filters
@@ -19,6 +18,8 @@ from rowtide.sources import cells, wire
 from rowtide.sources.catalog import catalog_frame, dump, frame_of, index_keys, norm_type, read_catalog, tables_of
 from rowtide.sources.events import Bounds, boundaries, name_key
 from rowtide.sources.files import list_logs, next_name
+from rowtide.sources.writer import INT, Log, column, i4, s1, table, varchar
+from rowtide.sources.writer import decimal as pack_decimal
 
 T0 = 1_700_000_000
 
@@ -230,20 +231,6 @@ def one(kind, meta, raw, name="", unsigned=False):
     return cell[1] if cell[2] is None else cell[2]
 
 
-def pack_decimal(text, precision, scale):
-    sign, text = text.startswith("-"), text.lstrip("-")
-    whole, _, part = text.partition(".")
-    whole, part = whole.rjust(precision - scale, "0")[-(precision - scale) or len(whole) :] if precision > scale else "", part.ljust(scale, "0")
-    size = lambda n: n // 9 * 4 + (0, 1, 1, 2, 2, 3, 3, 4, 4)[n % 9]
-    out = b""
-    odd = len(whole) % 9
-    groups = ([whole[:odd]] if odd else []) + [whole[i : i + 9] for i in range(odd, len(whole), 9)] + [part[i : i + 9] for i in range(0, len(part), 9)]
-    for g in groups:
-        out += int(g).to_bytes(size(len(g)), "big")
-    out = bytes([out[0] ^ 0x80]) + out[1:]
-    return bytes(x ^ 0xFF for x in out) if sign else out
-
-
 @settings(max_examples=200)
 @given(st.data())
 def test_decimals_come_back(data):
