@@ -59,7 +59,11 @@ def commit_points(path: str, start: int, most: int) -> Iterator[tuple[int, int,
 
 
 class BinlogStreamReader(DataSourceStreamReader):
-    """Options as of the batch source, and maxBytesPerTrigger. Stop bounds end the stream: later batches are empty."""
+    """Options as of the batch source, and maxBytesPerTrigger. Stop bounds end the stream: later batches are empty.
+
+    Spark doesn't say where it resumes when it first asks for the latest offset, so the first batch after a start takes
+    all there is (a partition a file); the limit holds from then on.
+    """
 
     def __init__(self, options: dict, view: str, images: Images | None):
         from ..sources.binlog import bounds_of
@@ -79,15 +83,16 @@ class BinlogStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         at = dict(self.last or self.initialOffset())
         begin, taken = dict(at), 0
+        most = self.most if self.last else 1 << 62
         for name, path in self.logs(at["file"]):
             if name != at["file"]:
                 at = {**at, "file": name, "pos": 4}
             base = (at["trx"], at["run"])
             from_ = at["pos"]
-            for end, trx, run in commit_points(path, from_, self.most - taken):
+            for end, trx, run in commit_points(path, from_, most - taken):
                 at = {"file": name, "pos": end, "trx": base[0] + trx, "run": base[1] + run}
             taken += at["pos"] - from_
-            if taken >= self.most:
+            if taken >= most:
                 break
         self.last = at
         return at if at != begin else begin

@@ -34,7 +34,7 @@ def options(tmp_path, **more):
 
 
 def written(spark, tmp_path):
-    rows = spark.read.text(str(tmp_path / "out" / "batch=*")).collect() if (tmp_path / "out").exists() else []
+    rows = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
     return sorted(int(x["value"].split("(")[-1].rstrip(");")) for x in rows)
 
 
