@@ -194,8 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str =
     scored = scratch.save(scored.mapInArrow(weigh, "id long, lang string, n_bytes long, perplexity double"), "scored")
     held = scored.join(good.where("held"), "id", "left_semi").where("perplexity is not null")
     at = F.percentile_approx("perplexity", quantile, 10_000)
-    every = held.agg(at.alias("overall"))
+    overall = held.agg(at).first()[0]
     by_lang = held.groupBy("lang").agg(F.when(F.count("*") >= LEAST_DOCS, at).alias("own"))
-    out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).crossJoin(F.broadcast(every))  # one row
-    out = out.withColumn("threshold", F.coalesce("own", "overall"))
+    out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
+    out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
     return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

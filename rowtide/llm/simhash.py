@@ -35,25 +35,37 @@ def shingle_hashes(text: bytes, words: int, block: int = 1 << 16) -> Iterator[np
         yield np.array([size(joined[a:b], SEED) for a, b in zip(starts[i : i + block].tolist(), ends[i : i + block].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """64 bits; a bit is 1 if it is 1 in over half of the shingles' hashes. Without words: 0."""
-    ones, n = np.zeros(64, dtype=np.int64), 0
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of what h is the hash of (the finalizer of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int = 4, second: bool = False) -> tuple[int, int]:
+    """64 bits; a bit is 1 if it is 1 in over half of the shingles' hashes. Without words: 0. ``second``: 64 bits more, of the hashes remixed."""
+    ones, n = np.zeros((2, 64), dtype=np.int64), 0
     for h in shingle_hashes(text, words):
         n += len(h)
         for i in range(0, len(h), 4096):
-            ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+            for k, part in enumerate((h[i : i + 4096], remixed(h[i : i + 4096])) if second else (h[i : i + 4096],)):
+                ones[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return majority(ones[0], n), majority(ones[1], n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp) with fp the fingerprint as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, second: bool = False) -> DataFrame:
+    """(id, fp, fp2) as signed longs (fp2 zero unless asked for); null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column("body").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint(t, words, second) for t in b.column("body").to_pylist()], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["id", "fp", "fp2"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long, fp2 long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -128,28 +140,37 @@ class GrayIndex:
                 todo.append((level - 1, a[keep], b[keep]))
 
 
-def spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key: links that connect, within each key, whatever lies within the radius of each other."""
+def spanning(keys: np.ndarray, fps: np.ndarray, radius: int, more: np.ndarray | None = None, total: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key: pairs of rows that connect, within each key, whatever lies within the radius of each other.
+
+    ``more``: second fingerprints; pairs link only if both together differ in ``total`` bits at most.
+    """
     n = len(fps)
     if n < 2:
-        return fps[:0], fps[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[first, n])
     forest = Forest(n)
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        if more is not None and len(i):
+            close = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(more[i] ^ more[j]) <= total
+            i, j = i[close], j[close]
+        forest.link(i, j)
+
     left = np.repeat(first + size, size) - np.arange(n)  # rows of the key from this one on
-    small = np.repeat(size <= SMALL, size)
-    at = np.flatnonzero(small & (left > 1))
+    at = np.flatnonzero(np.repeat(size <= SMALL, size) & (left > 1))
     step = 1
     while len(at):
         near = np.bitwise_count(fps[at] ^ fps[at + step]) <= radius
-        forest.link(at[near], at[near] + step)
+        link(at[near], at[near] + step)
         step += 1
         at = at[left[at] > step]
     for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         for i, j in GrayIndex(fps[f : f + s]).pairs(radius):
-            forest.link(i + f, j + f)
+            link(i + f, j + f)
     linked = np.flatnonzero(forest.up != np.arange(n))
-    return fps[linked], fps[forest.up[linked]]
+    return linked, forest.up[linked]
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -181,49 +202,61 @@ def views(radius: int, free: int = 2) -> list[int]:
     return [sum(c) for c in combinations(masks, free)]
 
 
-def hamming_links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """(a, b) longs: links among the distinct ``fp`` that have the components of all pairs within the radius.
+def hamming_links(classes: DataFrame, radius: int, scratch: Scratch, total: int | None = None) -> DataFrame:
+    """(a, b): links among the ``cid`` of distinct (fp, fp2) that have the components of all pairs within the radius (and the total over both).
 
     Each root of the index fixes one masked pattern, so a fingerprint goes to C(radius + 2, 2) roots, whatever the
     size of the table. A root over CHUNK fingerprints is dealt out as pairs of its chunks.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in views(radius)]
-    rooted = fps.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
-    rooted = rooted.select("fp", F.xxhash64("view", F.col("fp").bitwiseAND(F.col("mask"))).alias("root"))
+    rooted = classes.select("cid", "fp", "fp2", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
+    columns = ["cid", "fp", "fp2"] if total is not None else ["cid", "fp"]
+    rooted = rooted.select(*columns, F.xxhash64("view", F.col("fp").bitwiseAND(F.col("mask"))).alias("root"))
     large = rooted.groupBy("root").count().where(F.col("count") > CHUNK).select("root", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     large = scratch.save(large, "large-roots")
     if large.isEmpty():
         rooted = rooted.withColumn("pair", F.lit(0))
     else:
         rooted = rooted.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+        mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")
         rooted = rooted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rooted = rooted.select("fp", "root", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
+        rooted = rooted.select(*columns, "root", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["root", "pair"]):
-            root, pair = t.column("root").to_numpy(), t.column("pair").to_numpy()
+            root, pair, cid = (t.column(c).to_numpy() for c in ("root", "pair", "cid"))
             change = np.r_[0, np.cumsum((root[1:] != root[:-1]) | (pair[1:] != pair[:-1]))]
-            a, b = spanning(change, t.column("fp").to_numpy().view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            more = t.column("fp2").to_numpy().view(np.uint64) if total is not None else None
+            a, b = spanning(change, t.column("fp").to_numpy().view(np.uint64), radius, more, total or 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], ["a", "b"])
 
     dealt = rooted.repartition(partitions(scratch.spark), "root", "pair").sortWithinPartitions("root", "pair")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
+def bits_apart(similarity: float) -> int:
+    """Of 128 bits, how many two sets of that Jaccard similarity (and of one size) differ in, the expected number and a standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(128 * p + (128 * p * (1 - p)) ** 0.5)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id), one row per row of ``docs``.
 
-    Fingerprints within ``radius`` bits link; component_id is the least id reachable. Null and empty texts, and texts
-    without words, have fingerprint zero. Rows with a null id get a fingerprint and the component's least id that isn't
-    null. Repeated rows are returned as often as given. An empty table gives an empty result.
+    Fingerprints within ``radius`` bits link; component_id is the least id reachable. With ``similarity``, a second
+    fingerprint of 64 bits tells pairs of a wide radius apart: both together may differ only in as many bits as sets of
+    that similarity are expected to. Null and empty texts, and texts without words, have fingerprint zero. Rows with a null
+    id get a fingerprint and the component's least id that isn't null. Repeated rows are returned as often as given.
+    An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    links = scratch.save(hamming_links(classes.select("fp"), radius, scratch), "links")
+    total = None if similarity is None else bits_apart(similarity)
+    fps = scratch.save(fingerprints(docs, id_col, text_col, words, similarity is not None), "fingerprints")
+    cid = F.col("fp") if similarity is None else F.monotonically_increasing_id()
+    classes = scratch.save(fps.groupBy("fp", "fp2").agg(F.min("id").alias("least")).withColumn("cid", cid), "classes")
+    links = scratch.save(hamming_links(classes, radius, scratch, total), "links")
     found = components(links, scratch)
-    grouped = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(grouped.join(least, "component").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.save(grouped.join(least, "component").select("fp", "fp2", "component_id"), "named")
+    return fps.join(named, ["fp", "fp2"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

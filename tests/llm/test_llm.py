@@ -88,12 +88,29 @@ def test_gray_index_is_exact(spark, monkeypatch):
     assert got == set(links)
     monkeypatch.setattr(simhash, "CHUNK", 7)
     monkeypatch.setattr(simhash, "SMALL", 3)
-    frame = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    frame = spark.createDataFrame([(int(x), int(x), 0) for x in f.view(np.int64)], "cid long, fp long, fp2 long")
     found = simhash.hamming_links(frame, 4, Scratch(spark, "t")).collect()
     key = {int(x): i for i, x in enumerate(f.view(np.int64))}
     assert union([(key[r["a"]], key[r["b"]]) for r in found], range(len(f))) == union(links, range(len(f)))
 
 
+def test_simhash_by_similarity(spark):
+    """Near copies of a similarity well over 0.8 group together; other texts stay alone."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(k):
+                copy[rng.randrange(300)] = word()
+            rows.append((4 * g + k, " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, radius=12, similarity=0.8).collect()}
+    assert sum(got[i] == i // 4 * 4 for i in got) >= 0.97 * len(got)
+    assert all(c // 4 == i // 4 for i, c in got.items())
+
+
 def planted(n=1500, dim=64, seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, dim))
