@@ -105,3 +105,8 @@ def online_catalog(spark: SparkSession, url: str, databases: list[str], **proper
     cols = F.transform(F.sort_array(F.collect_list(F.struct("ord", "name", norm_type_column(F.col("type")).alias("type_name"), F.lower("type").contains("unsigned").alias("unsigned")))), lambda c: F.struct(c["name"].alias("name"), c["type_name"].alias("type_name"), c["unsigned"].alias("unsigned")))
     tables = columns.groupBy("db", "tb").agg(cols.alias("cols"))
     return with_ordinals(tables.join(index_keys(index), ["db", "tb"], "left"))
+
+
+def server_logs(spark: SparkSession, url: str, **properties: str) -> DataFrame:
+    """The server's logs and their sizes over JDBC, the current one last."""
+    return spark.read.format("jdbc").options(url=url, query="SHOW BINARY LOGS", **properties).load()
