@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
-
-import numpy as np
+from array import array
 
 from .common import WordCache
 
@@ -22,25 +22,65 @@ def stretches(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: bytes that print in Latin-1 stand for themselves, the others for the characters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def split_tail(stretch: str) -> int:
+    """Where the signs behind the last letter begin; the pre-tokenizer always parts them from it (but for an apostrophe)."""
+    i = len(stretch)
+    while i and not stretch[i - 1].isalnum() and not stretch[i - 1].isspace() and stretch[i - 1] != "'":
+        i -= 1
+    return i if 0 < i < len(stretch) and stretch[i - 1].isalpha() else len(stretch)
+
+
 class PieceEncoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, byte_letters()
         self.cache = WordCache.of(f"pieces {path}", CACHE)
 
+    def alone(self, stretch: str) -> bytes:
+        """A word of letters only, with a space before it or not, is one pre-token: the library's model takes it as it is."""
+        word = stretch[1:] if stretch[0] == " " else stretch
+        if word.isalpha():
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(self.letters[32] + word if stretch[0] == " " else word)]
+        else:
+            ids = self.library.encode(stretch, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def known(self, part: str) -> bytes:
+        ids = self.cache.get(part)
+        if ids is None:
+            ids = self.cache[part] = self.alone(part)
+        return ids
+
+    def stretch(self, x: str) -> bytes:
+        """Lines with one line end between them, and the signs behind a word, are pre-tokens of their own."""
+        lines = x.split("\n")
+        if len(lines) > 1:
+            if lines[0] and not lines[0][-1].isspace() and all(y and not y[0].isspace() and not y[-1].isspace() for y in lines[1:]):
+                return self.known("\n").join(map(self.stretch, lines))
+            return self.alone(x)
+        at = split_tail(x)
+        return self.known(x) if at == len(x) else self.known(x[:at]) + self.known(x[at:])
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         cache, parts = self.cache, stretches(text)
-        new = [x for x in set(parts) if x not in cache]
+        new = {x for x in parts if x not in cache}
         if new:
-            cache.room(len(new))
-            if len(cache) == 0:
-                new = list(set(parts))
-            for i in range(0, len(new), 1024):
-                some = new[i : i + 1024]
-                cache.update(zip(some, (np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            cache.room(3 * len(new))
+            for x in new if cache else set(parts):
+                cache[x] = self.stretch(x)
         return b"".join([cache[x] for x in parts])

@@ -259,4 +259,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.save(grouped.join(least, "component").select("fp", "fp2", "component_id"), "named")
+    for name in ("classes", "links", "large-roots"):  # nothing reads them any more
+        scratch.drop(name)
     return fps.join(named, ["fp", "fp2"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
