@@ -133,7 +133,8 @@ class BytePairs:
         for x in stretches(text):
             ids = cache.get(x)
             if ids is None:
-                ids = self.stretch(x)
+                ids = cache.old.get(x)
+                ids = self.stretch(x) if ids is None else ids
                 if len(x) <= 256:
                     cache.room()
                     cache[x] = ids

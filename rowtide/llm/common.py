@@ -135,7 +135,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
 
 
 class WordCache(dict):
-    """A worker's cache of at most ``limit`` entries; it is emptied when full, results never depend on it.
+    """A worker's cache of at most ``limit`` entries; when full, they become ``old``, which may be asked, and go the next time. Results never depend on it.
 
     One cache lives at a time in a worker, so stages that run one after another don't add up.
     """
@@ -145,6 +145,7 @@ class WordCache(dict):
     def __init__(self, name: str, limit: int):
         super().__init__()
         self.name, self.limit = name, limit
+        self.old: dict = {}
 
     @classmethod
     def of(cls, name: str, limit: int) -> WordCache:
@@ -154,4 +155,5 @@ class WordCache(dict):
 
     def room(self, coming: int = 1) -> None:
         if len(self) + coming > self.limit:
+            self.old = dict(self)
             self.clear()

@@ -11,12 +11,17 @@ from .common import WordCache
 #: A byte-level pre-tokenizer never joins what stands before a single space to the space: texts can be cut there.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-CACHE = 600_000
+CACHE = 450_000
+
+
+def cuts_at_spaces(text: str) -> bool:
+    """Whether each space of the text stands between two characters that aren't white space."""
+    return not ("  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in SPACES))
 
 
 def stretches(text: str) -> list[str]:
     """The text in order, cut before each single space that stands between two other characters that aren't white space."""
-    if "  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in SPACES):
+    if not cuts_at_spaces(text):
         return CUT.split(text)
     first, *rest = text.split(" ")
     return [first, *(" " + x for x in rest)]
@@ -59,9 +64,13 @@ class PieceEncoder:
         return array("I", ids).tobytes()
 
     def known(self, part: str) -> bytes:
-        ids = self.cache.get(part)
+        """Remembered under the part without its space; where it has none, under a key of another kind."""
+        key = part[1:] if part[0] == " " else (part,)
+        ids = self.cache.get(key)
         if ids is None:
-            ids = self.cache[part] = self.alone(part)
+            ids = self.cache.old.get(key)
+            self.cache.room()
+            self.cache[key] = ids = self.alone(part) if ids is None else ids
         return ids
 
     def stretch(self, x: str) -> bytes:
@@ -77,10 +86,20 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        cache, parts = self.cache, stretches(text)
-        new = {x for x in parts if x not in cache}
-        if new:
-            cache.room(3 * len(new))
-            for x in new if cache else set(parts):
-                cache[x] = self.stretch(x)
-        return b"".join([cache[x] for x in parts])
+        if not cuts_at_spaces(text):
+            return b"".join(map(self.stretch, CUT.split(text)))
+        words = text.split(" ")
+        found = list(map(self.cache.get, words))
+        found[0] = self.stretch(words[0])
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = self.cache.get(w)
+                    if ids is None:
+                        ids = self.cache.old.get(w)
+                        ids = self.stretch(" " + w) if ids is None else ids
+                        self.cache.room()
+                        self.cache[w] = ids
+                    found[i] = ids
+        return b"".join(found)
