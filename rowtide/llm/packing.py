@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_rows
-from .pieces import PieceEncoder
+from .pieces import encoder as piece_encoder
 
 CAPACITY = 1024
 
@@ -69,7 +69,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = PieceEncoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = piece_encoder(vocabulary), TaskContext.get().partitionId()
         end, seen = np.array([end_id], dtype="<u4").tobytes(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             rows: list[tuple] = []

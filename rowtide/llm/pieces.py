@@ -103,3 +103,14 @@ class PieceEncoder:
                         self.cache[w] = ids
                     found[i] = ids
         return b"".join(found)
+
+
+_loaded: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One encoder a worker, as long as its cache is the one in use."""
+    if path not in _loaded or _loaded[path].cache is not WordCache.live:
+        _loaded.clear()
+        _loaded[path] = PieceEncoder(path)
+    return _loaded[path]

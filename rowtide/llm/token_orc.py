@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, deal, ordered, text_rows
-from .pieces import PieceEncoder
+from .pieces import encoder as piece_encoder
 
 #: Run-length encoded integers (ORC's version 2 encoding), an index entry each 1,000 rows, Bloom filters on the document id.
 ORC = {
@@ -36,7 +36,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
     rows = deal(ordered(text_rows(docs, id_col, text_col), "id"), "id", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bucket, at = PieceEncoder(vocabulary), None, 0
+        encoder, bucket, at = piece_encoder(vocabulary), None, 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             ids, starts = [], []
