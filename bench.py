@@ -14,6 +14,10 @@ import time
 from pathlib import Path
 
 
+#: The orders log is copied under following names until about so much is there.
+LOG_MIB = 32
+
+
 def main() -> None:
     cpus, sf = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     from pyspark.sql import SparkSession
@@ -42,8 +46,12 @@ def main() -> None:
     folder = Path(home)
     catalog = orders_log(spark, sf, folder / "logs")
     (folder / "schema.json").write_text(json.dumps(catalog))
-    size = (folder / "logs" / "mysql-bin.000001").stat().st_size / 2**20
-    o = Options(binlog_dir=str(folder / "logs"), start_file="mysql-bin.000001", schema_file=str(folder / "schema.json"), split_bytes=max(1 << 20, int(size * 2**20 / int(cpus) / 2)))
+    one = folder / "logs" / "mysql-bin.000001"
+    copies = max(1, min(64, round(LOG_MIB * 2**20 / one.stat().st_size)))
+    for k in range(2, copies + 1):
+        shutil.copy(one, folder / "logs" / f"mysql-bin.{k:06d}")
+    size = copies * one.stat().st_size / 2**20
+    o = Options(binlog_dir=str(folder / "logs"), start_file="mysql-bin.000001", stop_file=f"mysql-bin.{copies:06d}", schema_file=str(folder / "schema.json"), split_bytes=2 << 20)
     feed = with_names(orders_feed(spark, sf))
     timed("warm_up", render.statements(feed, render.Style()))
     took.pop("warm_up")
