@@ -182,7 +182,7 @@ def test_token_orc(docs, hard, none, spark):
     scratch = Scratch(spark, "orc")
     token_orc.write_tokens(docs, scratch.path("x"), VOCABULARY)
     few = token_orc.read_tokens(spark, scratch.path("x"), [5, 17])
-    assert "In(doc_id, [5,17])" in few._jdf.queryExecution().toString()
+    assert "IN (5,17)" in few._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"]: r["start"] for r in few.collect()} == {i: want[i][0] for i in (5, 17)}
 
 
