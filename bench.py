@@ -15,7 +15,7 @@ from pathlib import Path
 
 
 #: The orders log is copied under following names until about so much is there.
-LOG_MIB = 32
+LOG_MIB = 8
 
 
 def main() -> None:
@@ -66,7 +66,7 @@ def main() -> None:
         from rowtide.llm import queries as training
 
         for name, run in training.queries().items():
-            if name in ("op1_simhash", "op6_byte_bpe", "op8_warc_archive"):
+            if name in ("op1_simhash", "op8_warc_archive"):
                 began = time.time()
                 run(spark, sf).write.format("noop").mode("overwrite").save()
                 took[name] = round(time.time() - began, 3)
