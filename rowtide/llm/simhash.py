@@ -17,6 +17,8 @@ SEED, RADIUS = 42, 4
 #: Fingerprints of one side of a comparison; larger nodes of the index are dealt out as pairs of chunks.
 CHUNK = 16_384
 FANOUT, SMALL, PAIRS = 16, 48, 1 << 16
+#: Shingles of many texts whose numbers are known to all tasks, at most; they stand last in the order of shingles.
+COMMON = 50_000
 
 
 def shingle_hashes(text: bytes, words: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -39,33 +41,25 @@ def majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def remixed(h: np.ndarray) -> np.ndarray:
-    """Another hash of what h is the hash of (the finalizer of SplitMix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprint(text: bytes, words: int = 4, second: bool = False) -> tuple[int, int]:
-    """64 bits; a bit is 1 if it is 1 in over half of the shingles' hashes. Without words: 0. ``second``: 64 bits more, of the hashes remixed."""
-    ones, n = np.zeros((2, 64), dtype=np.int64), 0
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """64 bits; a bit is 1 if it is 1 in over half of the shingles' hashes. Without words: 0."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
     for h in shingle_hashes(text, words):
         n += len(h)
         for i in range(0, len(h), 4096):
-            for k, part in enumerate((h[i : i + 4096], remixed(h[i : i + 4096])) if second else (h[i : i + 4096],)):
-                ones[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return majority(ones[0], n), majority(ones[1], n)
+            ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return majority(ones, n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, second: bool = False) -> DataFrame:
-    """(id, fp, fp2) as signed longs (fp2 zero unless asked for); null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(id, fp), fp as a signed long; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words, second) for t in b.column("body").to_pylist()], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["id", "fp", "fp2"])
+            fps = np.array([fingerprint(t, words) for t in b.column("body").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps)], ["id", "fp"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long, fp2 long")
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -140,11 +134,8 @@ class GrayIndex:
                 todo.append((level - 1, a[keep], b[keep]))
 
 
-def spanning(keys: np.ndarray, fps: np.ndarray, radius: int, more: np.ndarray | None = None, total: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key: pairs of rows that connect, within each key, whatever lies within the radius of each other.
-
-    ``more``: second fingerprints; pairs link only if both together differ in ``total`` bits at most.
-    """
+def spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key: pairs of rows that connect, within each key, whatever lies within the radius of each other."""
     n = len(fps)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -152,23 +143,17 @@ def spanning(keys: np.ndarray, fps: np.ndarray, radius: int, more: np.ndarray |
     size = np.diff(np.r_[first, n])
     forest = Forest(n)
 
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        if more is not None and len(i):
-            close = np.bitwise_count(fps[i] ^ fps[j]) + np.bitwise_count(more[i] ^ more[j]) <= total
-            i, j = i[close], j[close]
-        forest.link(i, j)
-
     left = np.repeat(first + size, size) - np.arange(n)  # rows of the key from this one on
     at = np.flatnonzero(np.repeat(size <= SMALL, size) & (left > 1))
     step = 1
     while len(at):
         near = np.bitwise_count(fps[at] ^ fps[at + step]) <= radius
-        link(at[near], at[near] + step)
+        forest.link(at[near], at[near] + step)
         step += 1
         at = at[left[at] > step]
     for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         for i, j in GrayIndex(fps[f : f + s]).pairs(radius):
-            link(i + f, j + f)
+            forest.link(i + f, j + f)
     linked = np.flatnonzero(forest.up != np.arange(n))
     return linked, forest.up[linked]
 
@@ -202,15 +187,15 @@ def views(radius: int, free: int = 2) -> list[int]:
     return [sum(c) for c in combinations(masks, free)]
 
 
-def hamming_links(classes: DataFrame, radius: int, scratch: Scratch, total: int | None = None) -> DataFrame:
-    """(a, b): links among the ``cid`` of distinct (fp, fp2) that have the components of all pairs within the radius (and the total over both).
+def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links among the ``cid`` of distinct fp that have the components of all pairs within the radius.
 
     Each root of the index fixes one masked pattern, so a fingerprint goes to C(radius + 2, 2) roots, whatever the
     size of the table. A root over CHUNK fingerprints is dealt out as pairs of its chunks.
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in views(radius)]
-    rooted = classes.select("cid", "fp", "fp2", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
-    columns = ["cid", "fp", "fp2"] if total is not None else ["cid", "fp"]
+    rooted = classes.select("cid", "fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
+    columns = ["cid", "fp"]
     rooted = rooted.select(*columns, F.xxhash64("view", F.col("fp").bitwiseAND(F.col("mask"))).alias("root"))
     large = rooted.groupBy("root").count().where(F.col("count") > CHUNK).select("root", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     large = scratch.save(large, "large-roots")
@@ -226,39 +211,159 @@ def hamming_links(classes: DataFrame, radius: int, scratch: Scratch, total: int
         for t in by_group(batches, ["root", "pair"]):
             root, pair, cid = (t.column(c).to_numpy() for c in ("root", "pair", "cid"))
             change = np.r_[0, np.cumsum((root[1:] != root[:-1]) | (pair[1:] != pair[:-1]))]
-            more = t.column("fp2").to_numpy().view(np.uint64) if total is not None else None
-            a, b = spanning(change, t.column("fp").to_numpy().view(np.uint64), radius, more, total or 0)
+            a, b = spanning(change, t.column("fp").to_numpy().view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], ["a", "b"])
 
     dealt = rooted.repartition(partitions(scratch.spark), "root", "pair").sortWithinPartitions("root", "pair")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def bits_apart(similarity: float) -> int:
-    """Of 128 bits, how many two sets of that Jaccard similarity (and of one size) differ in, the expected number and a standard deviation more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(128 * p + (128 * p * (1 - p)) ** 0.5)
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, fp, s1, s2, shingles): the fingerprint, 128 bits that name the set of shingles, and the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column("body").to_pylist()
+            sets = [shingle_set(t, words).tobytes() for t in bodies]
+            fps = np.array([fingerprint(t, words) for t in bodies], dtype=np.uint64).view(np.int64)
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sets), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary())], ["id", "fp", "s1", "s2", "shingles"])
+
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long, s1 long, s2 long, shingles binary")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON shingles of many texts and their numbers, as far as batches show them. It only orders shingles: any order gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, n = np.unique(np.frombuffer(b"".join(b.column("shingles").to_pylist()), dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], ["h", "n"])
+
+    rows = sets.select("shingles").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    found = np.array(sorted((r["h"], r["n"]) for r in rows), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def prefix_groups(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(members): the classes (n, cid) that have a shingle among the rarest of their set, where several have it.
+
+    Sets of n and m shingles at or over the similarity share similarity * max(n, m) of them at least, so that, in any one
+    order of all shingles, their first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1 share one.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))  # bounded by COMMON
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = sent.value
+        for b in batches:
+            sizes, firsts = [], []
+            for x in b.column("shingles").to_pylist():
+                own = np.frombuffer(x, dtype=np.int64)
+                sizes.append(len(own))
+                at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+                often = np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)
+                firsts.append(own[np.lexsort((own, often))[: len(own) - least_common(len(own), similarity) + 1 if len(own) else 0]])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["cid", "n", "firsts"])
+
+    rows = sets.select(F.col("row").alias("cid"), "shingles").mapInArrow(run, "cid long, n int, firsts array<long>")
+    rows = rows.join(classes.select("cid"), "cid", "left_semi").select("cid", "n", F.explode("firsts").alias("shingle"))
+    groups = rows.groupBy("shingle").agg(F.collect_list(F.struct("n", "cid")).alias("members"))
+    return groups.where(F.size("members") > 1).select(F.array_sort("members").alias("members")).distinct()
+
+
+def least_common(n: int, similarity: float) -> int:
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least the given one, counted shingle by shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def open_pairs(groups: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs within the groups that no chain of links in ``found`` connects yet and whose sizes allow the similarity."""
+    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("m")).select("g", "m.n", "m.cid")
+    rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    rows = rows.groupBy("g").agg(F.collect_list(F.struct("n", "cid", "component")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.where("low != high").select(F.col("m.n").alias("n"), F.col("m.cid").alias("cid"), F.col("m.component").alias("component"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, cid, component in zip(*(batch.column(c) for c in ("n", "cid", "component")), strict=True):
+                n, cid, component = (np.array(x.values) for x in (n, cid, component))
+                by = np.argsort(n, kind="stable")
+                n, cid, component = n[by], cid[by], component[by]
+                upto = np.searchsorted(n, n / similarity + 1e-6, "right")
+                a, b, held = [], [], 0
+                for i in range(len(n)):
+                    other = cid[i + 1 : upto[i]][component[i + 1 : upto[i]] != component[i]]
+                    a.append(np.minimum(cid[i], other))
+                    b.append(np.maximum(cid[i], other))
+                    held += len(other)
+                    if held >= PAIRS or i == len(n) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                        a, b, held = [], [], 0
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(sets: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links among the ``cid`` of distinct sets that have the components of all pairs at or over the similarity.
+
+    The members of each group are compared with its least first; then only what those links leave apart is.
+    """
+    groups = scratch.save(prefix_groups(sets, classes, similarity), "groups")
+    asked = groups.select(F.explode("members.cid").alias("row")).distinct()
+    few = scratch.save(sets.join(asked, "row", "left_semi").select(F.col("row").alias("cid"), "shingles"), "asked-sets")
+    first = groups.select(F.col("members")[0]["cid"].alias("a"), F.col("members")[0]["n"].alias("n"), F.explode(F.slice("members", 2, 2**31 - 1)).alias("m"))
+    first = first.where(F.col("n") >= similarity * F.col("m.n") - 1e-6).select("a", F.col("m.cid").alias("b")).distinct()
+    near = scratch.save(verified(first, few, similarity), "near-first")
+    found = components(near, scratch, "cc-first")
+    rest = scratch.save(verified(open_pairs(groups, found, similarity), few, similarity), "near-rest")
+    return near.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id), one row per row of ``docs``.
 
-    Fingerprints within ``radius`` bits link; component_id is the least id reachable. With ``similarity``, a second
-    fingerprint of 64 bits tells pairs of a wide radius apart: both together may differ only in as many bits as sets of
-    that similarity are expected to. Null and empty texts, and texts without words, have fingerprint zero. Rows with a null
+    Fingerprints within ``radius`` bits link; component_id is the least id reachable. With ``similarity``, texts link
+    whose sets of shingles have at least that Jaccard similarity, whatever their fingerprints: every such pair is found and
+    each link is verified on the sets. Null and empty texts, and texts without words, have fingerprint zero. Rows with a null
     id get a fingerprint and the component's least id that isn't null. Repeated rows are returned as often as given.
     An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    total = None if similarity is None else bits_apart(similarity)
-    fps = scratch.save(fingerprints(docs, id_col, text_col, words, similarity is not None), "fingerprints")
-    cid = F.col("fp") if similarity is None else F.monotonically_increasing_id()
-    classes = scratch.save(fps.groupBy("fp", "fp2").agg(F.min("id").alias("least")).withColumn("cid", cid), "classes")
-    links = scratch.save(hamming_links(classes, radius, scratch, total), "links")
+    if similarity is None:
+        key = ["fp"]
+        fps = scratch.save(fingerprints(docs, id_col, text_col, words), "fingerprints")
+        classes = scratch.save(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("cid", F.col("fp")), "classes")
+        links = scratch.save(hamming_links(classes, radius, scratch), "links")
+    else:
+        key = ["s1", "s2"]
+        fps = scratch.save(shingle_sets(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+        classes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("least"), F.min("row").alias("cid")), "classes")
+        links = similar_links(fps.select("row", "shingles"), classes, similarity, scratch)
     found = components(links, scratch)
     grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(grouped.join(least, "component").select("fp", "fp2", "component_id"), "named")
-    for name in ("classes", "links", "large-roots"):  # nothing reads them any more
+    named = scratch.save(grouped.join(least, "component").select(*key, "component_id"), "named")
+    for name in ("classes", "links", "large-roots", "groups", "asked-sets", "near-first", "near-rest"):  # nothing reads them any more
         scratch.drop(name)
-    return fps.join(named, ["fp", "fp2"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.select("id", "fp", *(k for k in key if k != "fp")).join(named, key).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

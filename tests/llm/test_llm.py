@@ -111,6 +111,26 @@ def test_simhash_by_similarity(spark):
     assert all(c // 4 == i // 4 for i, c in got.items())
 
 
+def test_similar_links_are_exact(spark):
+    """Pairs planted at similarities of 0.7 to 0.9, and texts that one word dominates: links are those of exact Jaccard >= 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = ["same " * 400 + " ".join(word() for _ in range(20)) for _ in range(3)]
+    for changes in [*range(1, 9)] * 12:
+        base = [word() for _ in range(150)]
+        copy = list(base)
+        for at in rng.sample(range(150), changes):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    assert sum(0.8 <= s < 0.9 for s in alike.values()) > 10 and sum(0.7 <= s < 0.8 for s in alike.values()) > 10
+    want = union([p for p, s in alike.items() if s >= 0.8], range(len(texts)))
+    rows = list(enumerate(texts))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def planted(n=1500, dim=64, seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, dim))
