@@ -166,15 +166,13 @@ class BinlogReader(DataSourceReader):
         self.fail_fast = str(options.get("mode", "PERMISSIVE")).upper() == "FAILFAST"
 
     def logs(self) -> list[tuple[str, str]]:
-        """(name, path) in order, only those within the window: with a start file and no stop, that file alone."""
+        """(name, path) in order, only those within the window: with a start file and no stop, that file and all later ones of its base."""
         b = self.bounds
         found = list_logs(self.options["path"], b.start[0] if b.start else None)
         if b.start:
             found = [x for x in found if name_key(x[0]) >= name_key(b.start[0])]
             if not found or found[0][0] != b.start[0]:
                 raise FileNotFoundError(f"{b.start[0]} is not in {self.options['path']}")
-            if not b.stop and b.stop_ts is None:
-                found = found[:1]
         if b.stop:
             found = [x for x in found if name_key(x[0]) <= name_key(b.stop[0])]
         return found

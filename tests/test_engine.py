@@ -411,6 +411,23 @@ def test_minimal_images_and_no_keys(spark, tmp_path):
     assert [r["sql"] for r in rows[1:]] == ["DELETE FROM `d`.`n` WHERE `a`=1 AND `b` IS NULL;", "DELETE FROM `d`.`n` WHERE `a` IS NULL AND `b`='a\\'b\\%\\\\n';", "DELETE FROM `d`.`n` WHERE `a`=5 AND `b`='v1';"]
 
 
+def test_an_open_end_takes_all_later_logs(spark, tmp_path):
+    for n in (1, 2, 10):
+        log = Log()
+        log.begin(T0 + n)
+        log.map(1, "d", "t", [INT], T0 + n)
+        log.rows(30, 1, [[i4(n)]], T0 + n)
+        log.xid(T0 + n)
+        log.save(tmp_path / "logs", f"mysql-bin.{n:06d}")
+    o = {"binlog_dir": str(tmp_path / "logs"), "schema_file": schema_file(tmp_path, table("d", "t", [column("id")], ("id",)))}
+    got = lambda start, **k: [r["sql"].split("(")[-1] for r in modes.to_sql(spark, Options(**o, start_file=start, **k)).collect()]
+    assert got("mysql-bin.000001") == ["1);", "2);", "10);"]
+    assert got("mysql-bin.000002") == ["2);", "10);"]
+    assert got("mysql-bin.000001", stop_pos=10_000) == ["1);"]
+    undone = [r["sql"] for r in modes.flashback(spark, Options(work="flashback", **o, start_file="mysql-bin.000001")).collect()]
+    assert undone == [f"DELETE FROM `d`.`t` WHERE `id`={n};" for n in (10, 2, 1)]
+
+
 def test_two_files_windows_and_rotation(spark, tmp_path):
     for n in (1, 2, 10):
         log = Log()
