@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import deal, ordered, text_rows
 
-#: Bytes that a boundary depends on; chunks of a signature at most, and at least if it can be; the least block size as a power of two.
+#: Bytes that a boundary depends on; chunks of a signature at most, unless that leaves too few, and at least if it can be; the least block size as a power of two.
 WINDOW, CHUNKS, FEW, LEAST = 7, 64, 8, 2
 #: Base-64 digits in the order of RFC 4648; two stand for one chunk.
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -65,10 +65,13 @@ def fingerprint(data: bytes) -> str:
     """``power:signature:signature at twice the block size``, the block size being the least with CHUNKS chunks at most.
 
     Where that leaves fewer than FEW chunks (a text that repeats itself has its boundaries at a few block sizes), the
-    block size below it is taken, and the last of CHUNKS chunks covers the rest.
+    block size below it is taken, with all of its chunks.
     """
     power = max(LEAST, int(len(data) // CHUNKS).bit_length() - 3)
     at, h = boundaries(data, power)
+    while len(at) < FEW and power > LEAST:
+        power -= 1
+        at, h = boundaries(data, power)
     before = None
     while len(at) >= CHUNKS:
         power, before = power + 1, (power, at, h)
@@ -77,7 +80,7 @@ def fingerprint(data: bytes) -> str:
     if before and len(at) < FEW:
         power, at, h = before
     twice = at[h < np.uint32(2 ** max(0, 31 - power))]
-    return f"{power}:{signature(data, at[: CHUNKS - 1])}:{signature(data, twice[: CHUNKS - 1])}"
+    return f"{power}:{signature(data, at)}:{signature(data, twice)}"
 
 
 def common(a: str, b: str) -> int:

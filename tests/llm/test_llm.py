@@ -466,3 +466,20 @@ def test_license_scan(docs, hard, none, spark):
     want = {(r["doc_id"], n) for r in docs.collect() for n, t in licenses.TEMPLATES.items() if t in (r["text"] or "")}
     assert want <= {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
     assert licenses.scan(hard).count() == 0 and licenses.scan(none).count() == 0
+
+
+def test_piecewise_hash_of_repetitive_texts_is_whole():
+    rng = random.Random(6)
+    cut = 0
+    for _ in range(40):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(30))
+        data = (line * 400).encode()
+        edited = data[:6000] + "".join(rng.choice("klmnopqrst ") for _ in range(6000)).encode()
+        mark = ctph.fingerprint(data)
+        power, own, _ = mark.split(":")
+        ends = len(ctph.boundaries(data, int(power))[0])
+        assert len(own) // 2 in (ends, ends + 1)  # every chunk, the last one up to the end
+        assert ends >= ctph.FEW or len(ctph.boundaries(data, ctph.LEAST)[0]) < ctph.FEW
+        assert ctph.likeness(mark, ctph.fingerprint(edited)) < 0.9
+        cut += ends >= ctph.CHUNKS
+    assert cut
