@@ -18,7 +18,7 @@ ORDER = 4
 BLOCK = 6 << 20
 #: Remainder of crc32(id) by FOLDS: trusted documents with 0 set thresholds, the others are counted.
 FOLDS = 5
-#: Share of trusted documents of a language that its threshold keeps; languages with fewer documents take that of all.
+#: Share of trusted documents of a language that its threshold keeps; with fewer held-out documents the counted ones set it too.
 QUANTILE, LEAST_DOCS = 0.99, 50
 
 
@@ -145,28 +145,16 @@ class Model:
         return below
 
 
-def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """(id, lang, n_bytes, perplexity, threshold, keep), one row per document, perplexity per byte.
+def stored(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Blocks as a table bucketed by block."""
+    name = "rowtide_" + scratch.root.rsplit("-", 1)[1]
+    rows.write.option("compression", "uncompressed").option("path", scratch.path("blocks")).bucketBy(partitions(scratch.spark), "block").saveAsTable(name)
+    return scratch.spark.table(name)
 
-    Trusted text: documents all of whose labels say quality 1. Four of five (by crc32 of the id) are counted, the fifth sets each
-    language's threshold: the ``quantile`` of its documents' perplexities. Every n-gram of every whole text is scored.
-    An empty or null text has no perplexity and is kept; a null id is never trusted; a null language is one of its own.
-    Without trusted text, nothing is known: every threshold is null and everything is kept. Repeated rows are scored alike.
 
-    Text is read once and isn't exchanged: blocks of it lie compressed in a table bucketed by block; exchanged are the
-    distinct n-grams of each block, and their probabilities on the way back.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "kneser-ney")
-    n = partitions(spark)
-    name = "rowtide_" + scratch.root.rsplit("-", 1)[1]
-    blocks(docs, order, id_col, text_col, lang_col).write.option("compression", "uncompressed").option("path", scratch.path("blocks")).bucketBy(n, "block").saveAsTable(name)
-    table = spark.table(name)
-    good = labels.groupBy(labels[id_col].cast("long").alias("id")).agg(F.min(labels[quality_col]).alias("quality")).where("quality = 1 and id is not null")
-    good = good.select("id", (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)) == 0).alias("held"))
-    where = table.select("block", F.explode("ids").alias("id")).join(good, "id")
-    chosen = where.where("not held").groupBy("block").agg(F.collect_set("id").alias("chosen"))
-    model = Model(trusted_counts(table, chosen, order), scratch, order)
+def weighed(table: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(id, lang, n_bytes, perplexity) of all documents of a table of blocks."""
+    order = model.order
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,11 +179,44 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size.astype(np.int64)), pa.array(np.exp(-mean), mask=size == 0)], ["id", "lang", "n_bytes", "perplexity"])
 
     scored = table.select("block", "ids", "langs", "sizes", "text", "grams").join(back, "block", "left").select("ids", "langs", "sizes", "text", "grams", F.coalesce("lp", F.array().cast("array<float>")).alias("lp"))
-    scored = scratch.save(scored.mapInArrow(weigh, "id long, lang string, n_bytes long, perplexity double"), "scored")
-    held = scored.join(good.where("held"), "id", "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = held.agg(at).first()[0]
-    by_lang = held.groupBy("lang").agg(F.when(F.count("*") >= LEAST_DOCS, at).alias("own"))
+    return scratch.save(scored.mapInArrow(weigh, "id long, lang string, n_bytes long, perplexity double"), "scored")
+
+
+def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
+    """(id, lang, n_bytes, perplexity, threshold, keep), one row per document, perplexity per byte.
+
+    Trusted text: documents all of whose labels say quality 1. Four of five (by crc32 of the id) are counted, the fifth sets each
+    language's threshold: the ``quantile`` of its documents' perplexities, never another language's. In a language with fewer than
+    LEAST_DOCS of them all trusted documents do, each under a model without its own fifth. Every n-gram of every whole text is scored.
+    An empty or null text has no perplexity and is kept; a null id is never trusted; a null language is one of its own.
+    Of a language without trusted documents nothing is known: its threshold is null and all of it is kept. Repeated rows are scored alike.
+
+    Text is read once and isn't exchanged: blocks of it lie compressed in a table bucketed by block; exchanged are the
+    distinct n-grams of each block, and their probabilities on the way back.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kneser-ney")
+    table = stored(blocks(docs, order, id_col, text_col, lang_col), scratch)
+    good = labels.groupBy(labels[id_col].cast("long").alias("id")).agg(F.min(labels[quality_col]).alias("quality")).where("quality = 1 and id is not null")
+    good = good.select("id", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold"))
+    where = table.select("block", F.explode("ids").alias("id")).join(good, "id")
+
+    def without(fold: int, scratch: Scratch) -> Model:
+        chosen = where.where(F.col("fold") != fold).groupBy("block").agg(F.collect_set("id").alias("chosen"))
+        return Model(trusted_counts(table, chosen, order), scratch, order)
+
+    scored = weighed(table, without(0, scratch), scratch)
+    trusted = scored.join(good, "id").where("perplexity is not null")
+    held = trusted.where("fold = 0").select("lang", "perplexity")
+    few = trusted.groupBy(F.col("lang").alias("few")).agg(F.count(F.when(F.col("fold") == 0, 1)).alias("n")).where(F.col("n") < LEAST_DOCS).select("few")
+    few = scratch.save(few, "few")
+    if not few.isEmpty():
+        rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).join(good, "id")
+        rows = scratch.save(rows.join(few, F.col("lang").eqNullSafe(F.col("few")), "left_semi"), "few-texts")
+        for fold in range(1, FOLDS):
+            own = Scratch(spark, "kneser-ney")
+            part = stored(blocks(rows.where(F.col("fold") == fold), order, "id", "text", "lang"), own)
+            held = held.unionByName(weighed(part, without(fold, own), own).where("perplexity is not null").select("lang", "perplexity"))
+    by_lang = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
-    out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
     return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -483,3 +483,14 @@ def test_piecewise_hash_of_repetitive_texts_is_whole():
         assert ctph.likeness(mark, ctph.fingerprint(edited)) < 0.9
         cut += ends >= ctph.CHUNKS
     assert cut
+
+
+def test_thresholds_are_of_the_own_language(spark):
+    """A language of few trusted documents has its own threshold."""
+    rng = random.Random(2)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(60))
+    few = [(i, text("klmn"), "de") for i in range(1, 13)]
+    many = [(i, text("abcdefgh"), "en") for i in range(100, 160)]
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in few + many], "doc_id long, quality int")
+    got = {r["lang"]: r["threshold"] for r in kneser_ney.score(spark.createDataFrame(few + many, "doc_id long, text string, lang string"), labels).collect()}
+    assert got["de"] < got["en"]
