@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -87,13 +88,14 @@ class Templates:
         return out
 
 
-def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """Most words of the template matched in order, and the first and last word of the text that they take.
+def align(template: list[int], words: list[int], low: int, high: int, start: int, stop: int, least: float) -> list[tuple[int, int, int]]:
+    """Alignments that match at least so many words of the template in order and don't overlap: words matched, first and last word of the text.
 
     Local alignment (match 2, else -1) of a template that begins between words ``low`` and ``high`` of the text: only
-    places on those diagonals, with BAND more on each side, are looked at.
+    places on those diagonals, with BAND more on each side, and words from ``start`` to before ``stop`` are looked at. The
+    best of each first word are taken in descending order, as far as they don't overlap.
     """
-    best = (0, 0, 0, 0)
+    ends: dict[int, tuple[int, int, int, int]] = {}
     width = range(low - BAND, high + BAND + 1)
     row: dict[int, tuple[int, int, int, int]] = {}
     for i, w in enumerate(template):
@@ -101,7 +103,7 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
         left = None
         for d in width:
             j = d + i
-            if j < 0 or j >= len(words):
+            if j < start or j >= stop:
                 left = None
                 continue
             diagonal, up = row.get(d), row.get(d + 1)
@@ -115,12 +117,31 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
                     cell = (other[0] - 1, *other[1:])
             if cell and cell[0] > 0:
                 new[d] = left = cell
-                if (cell[0], cell[1]) > best[:2]:
-                    best = cell
+                if cell[1] >= least and (cell[0], cell[1]) > ends.get(cell[2], (0, 0))[:2]:
+                    ends[cell[2]] = cell
             else:
                 left = None
         row = new
-    return best[1], best[2], best[3]
+    taken: list[tuple[int, int, int]] = []  # ascending by place
+    for _, m, a, z in sorted(ends.values(), key=lambda c: (-c[0], -c[1], c[2])):
+        k = bisect.bisect(taken, a, key=lambda t: t[1])
+        if (k == 0 or taken[k - 1][2] < a) and (k == len(taken) or z < taken[k][1]):
+            taken.insert(k, (m, a, z))
+    return taken
+
+
+def places(template: list[int], words: list[int], low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+    """All alignments of a stretch: those of :func:`align`, and again between them until nothing more is found."""
+    found, todo = [], [(max(0, low - BAND), min(len(words), high + len(template) + BAND))]
+    while todo:
+        start, stop = todo.pop()
+        if stop - start < least:
+            continue
+        own = align(template, words, max(low, start - len(template)), min(high, stop), start, stop, least)
+        if own:
+            found += own
+            todo += zip([start, *(z + 1 for _, _, z in own)], [*(a for _, a, _ in own), stop], strict=True)
+    return sorted(found, key=lambda f: f[1])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 for t, starts in found.items():
                     template = known.words[t].tolist()
                     for low, high in starts:
-                        matched, first, last = align(template, listed, low, high)
-                        if matched >= coverage * len(template):
+                        for matched, first, last in places(template, listed, low, high, coverage * len(template)):
                             out.append((key, known.names[t], matched / len(template), matched, spans[place[first]][0], spans[place[last]][1]))
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
 

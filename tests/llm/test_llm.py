@@ -494,3 +494,14 @@ def test_thresholds_are_of_the_own_language(spark):
     labels = spark.createDataFrame([(i, 1) for i, _, _ in few + many], "doc_id long, quality int")
     got = {r["lang"]: r["threshold"] for r in kneser_ney.score(spark.createDataFrame(few + many, "doc_id long, text string, lang string"), labels).collect()}
     assert got["de"] < got["en"]
+
+
+def test_license_scan_reports_each_copy(spark):
+    notice = licenses.TEMPLATES["mit-notice"]
+    partial = notice.replace(" License.", "")  # 4 of 5 words
+    rows = [(1, (notice + "\n") * 3), (2, f"{partial} {notice}"), (3, (notice + "\n") * 40), (4, f"{notice} and {notice} some other words stand here {notice}")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("license = 'mit-notice'").collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 3, 2: 2, 3: 40, 4: 3}
+    texts = dict(rows)
+    assert all(texts[r["doc_id"]][r["span_start"] : r["span_end"]] == notice for r in got if r["doc_id"] != 2)
+    assert len({(r["doc_id"], r["span_start"]) for r in got}) == len(got)
