@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, partitions
 
 THRESHOLD = 0.93
-#: Vectors that the codebooks and the radius are fitted on, at most.
+#: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 4096
 #: Vectors of a cell held in a task, and of its queries' share dealt to one task.
 CHUNK, SHARE = 2048, 16_384
-#: The radius is this many times the largest bound seen between sampled pairs that link.
-SLACK = 1.5
-#: With fewer linked pairs in the sample the radius is the exact one.
-LEAST_PAIRS = 50
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -84,20 +80,11 @@ class MultiIndex:
                     heapq.heappush(heap, (a[oa[x]] + b[ob[y]], x, y))
 
 
-def fit(sample: np.ndarray, labels: np.ndarray, k: int, threshold: float) -> tuple[MultiIndex, float]:
+def fit(sample: np.ndarray, k: int, threshold: float) -> tuple[MultiIndex, float]:
+    """Codebooks fitted on the sample, and the radius within which every link lies."""
     half = sample.shape[1] // 2
     k = max(1, min(k, len(sample)))
-    index = MultiIndex([codebook(sample[:, :half], k), codebook(sample[:, half:], k)])
-    exact = 2 - 2 * threshold
-    (c1, c2), (b1, b2) = index.bounds(sample)
-    seen, most = 0, 0.0
-    for i in range(0, len(sample), 512):
-        q, x = np.nonzero((sample[i : i + 512] @ sample.T >= threshold) & (labels[i : i + 512, None] == labels[None]))
-        q += i
-        q, x = q[q != x], x[q != x]
-        if len(q):
-            seen, most = seen + len(q), max(most, float((b1[q, c1[x]] + b2[q, c2[x]]).max()))
-    return index, min(exact, SLACK * most + 1e-9) if seen >= LEAST_PAIRS else exact + 1e-9
+    return MultiIndex([codebook(sample[:, :half], k), codebook(sample[:, half:], k)]), 2 - 2 * threshold + 1e-9
 
 
 def usable(v: Column, label: Column) -> Column:
@@ -109,7 +96,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept), one row per vector.
 
     Vectors of one label (and dimension) with a cosine of at least ``threshold`` link; every pair that is reported was
-    compared in double precision. Every vector is indexed. A vector visits the cells within the fitted radius;
+    compared in double precision. Every vector is indexed. A vector visits every cell that can hold a link of it;
     a pair counts if either of the two visits the other's cell, so n_links is symmetric. Equal vectors are one class:
     they link with each other and share their links. Vectors that are null, empty, zero, or hold null or non-finite
     components, and those with a null label, link with nothing: n_links 0, component_id their own id. component_id is
@@ -126,7 +113,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n, groups, dim = classes.agg(F.count("*"), F.approx_count_distinct("label"), F.max(F.size("v"))).first()
     if not n:
         return keys.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    few = classes.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-n // SAMPLE)))) == 0).limit(2 * SAMPLE).select("label", "v").collect()
+    few = classes.where(F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-n // SAMPLE)))) == 0).limit(2 * SAMPLE).select("v").collect()
     dim += dim % 2
 
     def padded(lists: list) -> np.ndarray:
@@ -135,8 +122,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             out[i, : len(x)] = x
         return unit(out)
 
-    few = few or classes.limit(1).select("label", "v").collect()
-    index, radius = fit(padded([r["v"] for r in few]), np.array([r["label"] for r in few]), int(np.clip(round((n / (40 * groups)) ** 0.5), 2, 256)), threshold)
+    few = few or classes.limit(1).select("v").collect()
+    index, radius = fit(padded([r["v"] for r in few]), int(np.clip(round((n / (40 * groups)) ** 0.5), 2, 256)), threshold)
     del few
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -505,3 +505,20 @@ def test_license_scan_reports_each_copy(spark):
     texts = dict(rows)
     assert all(texts[r["doc_id"]][r["span_start"] : r["span_end"]] == notice for r in got if r["doc_id"] != 2)
     assert len({(r["doc_id"], r["span_start"]) for r in got}) == len(got)
+
+
+def test_embeddings_beside_a_hot_group(spark, monkeypatch):
+    """Links are all found, though almost all pairs that a small sample shows are of one tight group."""
+    monkeypatch.setattr(embed_dedup, "SAMPLE", 100)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(600, 32))
+    turned = base + rng.normal(size=base.shape) * 0.35
+    hot = rng.normal(size=32) + 0.01 * rng.normal(size=(600, 32))
+    x = np.concatenate([base, turned, hot])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    want = near.sum(1) - 1
+    assert want[:1200].sum() > 200
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
