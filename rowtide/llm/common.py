@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts make small batches.
 ARROW_BATCH_BYTES = 8 << 20
+T = TypeVar("T")
 _local_dirs: dict[str, str] = {}
 
 
@@ -134,6 +139,23 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+class Bounded:
+    """What a worker keeps between batches and tasks: models, and tables of words that don't pass a number of bytes."""
+
+
+_resident: dict[str, Bounded] = {}
+
+
+def resident(name: str, build: Callable[[], T]) -> T:
+    """The one thing that a worker keeps: what was kept under another name goes, with all its tables, before the new one is built."""
+    if name not in _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _resident[name] = build()
+    return _resident[name]
+
+
 class WordCache(dict):
     """A worker's cache of at most ``limit`` entries; when full, they become ``old``, which may be asked, and go the next time. Results never depend on it.
 

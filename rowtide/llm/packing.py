@@ -70,25 +70,28 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = piece_encoder(vocabulary), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], dtype="<u4").tobytes(), np.zeros(capacity + 1, dtype=np.int64)
+        seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
-            rows: list[tuple] = []
-            ids: list[bytes] = []
-            for doc, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True):
-                own = encoder.encode(body.decode("utf-8", "replace")) + end
-                n = len(own) // 4
-                stops = range((n - 1) % capacity + 1, n + 1, capacity)
-                start = 0
-                for piece, stop in enumerate(stops):
-                    x = own[4 * start : 4 * stop]
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(x), part, int(seen[stop - start])))
-                    seen[stop - start] += 1
-                    ids.append(x)
-                    start = stop
-            if rows:
-                doc, piece, start, length, crc, parts, rank = zip(*rows, strict=True)
-                values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), values, pa.array(crc, pa.int64()), pa.array(parts, pa.int32()), pa.array(rank, pa.int64())], ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "part_rank"])
+            if not b.num_rows:
+                continue
+            ids, sizes = encoder.encode(b.column("body"))
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            stop = (sizes - capacity * (pieces - 1))[row] + capacity * piece  # the first piece is the shorter one
+            length = np.where(piece == 0, stop, capacity)
+            ends = np.cumsum(length)
+            data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for n, e in zip(length.tolist(), ends.tolist(), strict=True)]
+            by = np.argsort(length, kind="stable")
+            same = np.r_[0, np.flatnonzero(np.diff(length[by])) + 1]
+            rank = np.empty(len(length), dtype=np.int64)
+            rank[by] = np.arange(len(by)) - np.repeat(same, np.diff(np.r_[same, len(by)]))
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            values = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(stop - length), pa.array(length), values, pa.array(crc, pa.int64()), pa.array(np.full(len(row), part, np.int32)), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "part_rank"])
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, part int, part_rank long")
 

@@ -1,116 +1,52 @@
-"""Token ids of whole texts by the tokenizers library, remembered by stretches of text that it encodes alone."""
+"""Token ids of whole texts by the tokenizers library, each distinct word encoded once."""
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
 
-from .common import WordCache
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A byte-level pre-tokenizer never joins what stands before a single space to the space: texts can be cut there.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-CACHE = 450_000
+from .common import resident
+from .words import WordIds
 
 
-def cuts_at_spaces(text: str) -> bool:
-    """Whether each space of the text stands between two characters that aren't white space."""
-    return not ("  " in text or text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in SPACES))
-
-
-def stretches(text: str) -> list[str]:
-    """The text in order, cut before each single space that stands between two other characters that aren't white space."""
-    if not cuts_at_spaces(text):
-        return CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
-
-
-def byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[str, int]:
     """Byte-level alphabet: bytes that print in Latin-1 stand for themselves, the others for the characters from 256 on, in order."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
-
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
 
-def split_tail(stretch: str) -> int:
-    """Where the signs behind the last letter begin; the pre-tokenizer always parts them from it (but for an apostrophe)."""
-    i = len(stretch)
-    while i and not stretch[i - 1].isalnum() and not stretch[i - 1].isspace() and stretch[i - 1] != "'":
-        i -= 1
-    return i if 0 < i < len(stretch) and stretch[i - 1].isalpha() else len(stretch)
 
-
-class PieceEncoder:
-    """ids of texts as little-endian unsigned 32-bit integers."""
+class PieceEncoder(WordIds):
+    """Texts that hold an added token (such as the end of a text, written out), and all texts under another pre-tokenizer than the byte-level one, are left to the library as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.model, self.letters = self.library.model, byte_letters()
-        self.cache = WordCache.of(f"pieces {path}", CACHE)
-
-    def alone(self, stretch: str) -> bytes:
-        """A word of letters only, with a space before it or not, is one pre-token: the library's model takes it as it is."""
-        word = stretch[1:] if stretch[0] == " " else stretch
-        if word.isalpha():
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(self.letters[32] + word if stretch[0] == " " else word)]
-        else:
-            ids = self.library.encode(stretch, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
-    def known(self, part: str) -> bytes:
-        """Remembered under the part without its space; where it has none, under a key of another kind."""
-        key = part[1:] if part[0] == " " else (part,)
-        ids = self.cache.get(key)
-        if ids is None:
-            ids = self.cache.old.get(key)
-            self.cache.room()
-            self.cache[key] = ids = self.alone(part) if ids is None else ids
-        return ids
-
-    def stretch(self, x: str) -> bytes:
-        """Lines with one line end between them, and the signs behind a word, are pre-tokens of their own."""
-        lines = x.split("\n")
-        if len(lines) > 1:
-            if lines[0] and not lines[0][-1].isspace() and all(y and not y[0].isspace() and not y[-1].isspace() for y in lines[1:]):
-                return self.known("\n").join(map(self.stretch, lines))
-            return self.alone(x)
-        at = split_tail(x)
-        return self.known(x) if at == len(x) else self.known(x[:at]) + self.known(x[at:])
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not cuts_at_spaces(text):
-            return b"".join(map(self.stretch, CUT.split(text)))
-        words = text.split(" ")
-        found = list(map(self.cache.get, words))
-        found[0] = self.stretch(words[0])
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = self.cache.get(w)
-                    if ids is None:
-                        ids = self.cache.old.get(w)
-                        ids = self.stretch(" " + w) if ids is None else ids
-                        self.cache.room()
-                        self.cache[w] = ids
-                    found[i] = ids
-        return b"".join(found)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        split = json.loads(self.library.to_str())
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.cuts = split["normalizer"] is None and {k: v for k, v in (split["pre_tokenizer"] or {}).items() if k in level} == level
+        letters, vocabulary = byte_letters(), self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token) if all(c in letters for c in token) else len(token.encode())
 
+    def rows(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False))])
 
-_loaded: dict[str, PieceEncoder] = {}
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        out = np.full(len(texts), not self.cuts)
+        for token in self.added:
+            out |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder a worker, as long as its cache is the one in use."""
-    if path not in _loaded or _loaded[path].cache is not WordCache.live:
-        _loaded.clear()
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    """One encoder a worker."""
+    return resident(f"pieces {path}", lambda: PieceEncoder(path))

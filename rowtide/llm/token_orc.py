@@ -37,19 +37,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bucket, at = piece_encoder(vocabulary), None, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            ids, starts = [], []
-            for k, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if k != bucket:
-                    bucket, at = k, 0
-                ids.append(encoder.encode(body.decode("utf-8", "replace")) + end)
-                starts.append(at)
-                at += len(ids[-1]) // 4
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            values = np.frombuffer(b"".join(ids), dtype="<i4")
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("bucket"), pa.array(starts, pa.int64()), pa.array(np.diff(offsets)), column], ["doc_id", "bucket", "bucket_start", "n_tokens", "ids"])
+            if not b.num_rows:
+                continue
+            ids, sizes = encoder.encode(b.column("body"))
+            ends = np.cumsum(sizes)
+            values = np.insert(ids, ends, end_id)
+            sizes, ends = sizes + 1, ends + np.arange(1, len(ends) + 1)
+            buckets = b.column("bucket").to_numpy()
+            first = np.flatnonzero(np.r_[buckets[0] != bucket, buckets[1:] != buckets[:-1]])
+            starts = ends - sizes + at  # ids before the row, counted from where its bucket begins
+            for f in first.tolist():
+                starts[f:] -= starts[f]
+            bucket, at = buckets[-1], int(starts[-1] + sizes[-1])
+            column = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("bucket"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), column], ["doc_id", "bucket", "bucket_start", "n_tokens", "ids"])
 
     rows.mapInArrow(run, SCHEMA).write.options(**ORC).orc(path)
 

@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowtide.llm import bpe, ctph, embed_dedup, kneser_ney, licenses, packing, queries, simhash, token_orc, toxicity, warc
+from rowtide.llm import bpe, ctph, embed_dedup, kneser_ney, licenses, packing, queries, simhash, token_orc, toxicity, warc, words
 from rowtide.llm.common import Scratch, components
 from rowtide.llm.pieces import PieceEncoder
 
@@ -84,10 +85,18 @@ def test_gray_index_is_exact(spark, monkeypatch):
         f[i + 1] = f[i] ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, int(rng.integers(0, 6))).tolist())))
     f = np.unique(f)
     links = [(i, int(j)) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[i] ^ f) <= 4) if i < j]
-    got = {(int(a), int(b)) if a < b else (int(b), int(a)) for i, j in simhash.GrayIndex(f).pairs(4) for a, b in zip(i, j, strict=True)}
+    got = {(int(a), int(b)) if a < b else (int(b), int(a)) for i, j in simhash.GrayIndex(np.zeros(len(f), int), f).pairs(4) for a, b in zip(i, j, strict=True)}
     assert got == set(links)
+    roots = np.sort(rng.integers(0, 400, len(f)))  # of one to some tens of fingerprints, and one of many
+    roots[: len(f) // 2] = 0
+    got = sorted((min(a, b), max(a, b)) for i, j in simhash.GrayIndex(roots, f).pairs(4) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+    assert got == sorted((i, j) for i, j in links if roots[i] == roots[j])
+    assert not list(simhash.GrayIndex(roots[:0], f[:0]).pairs(4))
     monkeypatch.setattr(simhash, "CHUNK", 7)
-    monkeypatch.setattr(simhash, "SMALL", 3)
+    calls = []
+    monkeypatch.setattr(simhash.GrayIndex, "pairs", lambda self, radius, own=simhash.GrayIndex.pairs: calls.append(0) or own(self, radius))
+    a, b = simhash.spanning(roots, f, 4)
+    assert calls and union(list(zip(a.tolist(), b.tolist(), strict=True)), range(len(f))) == union([(i, j) for i, j in links if roots[i] == roots[j]], range(len(f)))
     frame = spark.createDataFrame([(int(x), int(x), 0) for x in f.view(np.int64)], "cid long, fp long, fp2 long")
     found = simhash.hamming_links(frame, 4, Scratch(spark, "t")).collect()
     key = {int(x): i for i, x in enumerate(f.view(np.int64))}
@@ -131,6 +140,20 @@ def test_similar_links_are_exact(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_n_grams_of_long_texts_come_in_lots(monkeypatch):
+    rng = random.Random(3)
+    bodies = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 1, 3, 16, 17, 100, 0, 33)]
+    for lot in (5, 16, 1 << 21):
+        monkeypatch.setattr(kneser_ney, "LOT", lot)
+        found = defaultdict(list)
+        for own, of, n in kneser_ney.codes(bodies, 4):
+            for k, part in zip(of.tolist(), np.split(own, np.cumsum(n)[:-1]), strict=True):
+                found[k] += part.tolist()
+        padded = [b"\0" * 3 + b for b in bodies]
+        assert {k: v for k, v in found.items()} == {k: [int.from_bytes(p[i : i + 4], "big") for i in range(len(p) - 3)] for k, p in enumerate(padded) if len(p) > 3}
+        assert kneser_ney.distinct_codes(bodies, 4).tolist() == sorted({g for v in found.values() for g in v})
+
+
 def planted(n=1500, dim=64, seed=0):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, dim))
@@ -208,7 +231,7 @@ def test_token_orc(docs, hard, none, spark):
 
 @pytest.mark.parametrize("text", ["", "  a  b", "a \n b  c", "x\t y", "it's  don't 's", "a\x1c b", "a　 b 　c", " a", "a ", "1 2 3  4", "\xa0 \xa0x", LONG])
 def test_stretches_encode_as_whole_texts(text):
-    assert PieceEncoder(VOCABULARY).encode(text) == np.array(library_ids(text), dtype="<u4").tobytes()
+    assert PieceEncoder(VOCABULARY).encode(pa.array([text.encode()]))[0].tolist() == library_ids(text)
 
 
 def tiktoken_model():
@@ -241,11 +264,55 @@ def test_rank_queue_and_long_pieces():
     for n in (1, 2, 3, 50, 4000):
         for letters in ("a", "ab", "abcdefgh", "thein "):
             text = "".join(rng.choice(letters) for _ in range(n))
-            assert pairs.encode(text).tolist() == model.encode_ordinary(text)
-    queue, given = bpe.RankQueue(), [(rng.randrange(60_000), i) for i in range(3000)]
-    for rank, at in given:
-        queue.push(rank, at)
-    assert [queue.pop() for _ in given] == sorted(given) and not queue
+            ids, sizes = pairs.encode(pa.array([text.encode()]))
+            assert ids.tolist() == model.encode_ordinary(text) and sizes.tolist() == [len(ids)]
+    queue, given = bpe.RankQueue(60_000), defaultdict(list)
+    for i in range(3000):
+        given[rng.randrange(60_000)].insert(0, i)
+    for rank, places in given.items():
+        queue.push(rank, list(places))
+    assert [queue.pop() for _ in given] == [(r, sorted(p)) for r, p in sorted(given.items())] and not queue
+
+
+def test_ranks_in_any_order():
+    """Merges may make pairs of lower ranks than their own: against a plain search for the least pair, in packed arrays too."""
+    rng = random.Random(5)
+    for trial in range(60):
+        tokens = [bytes([b]) for b in range(256)] + list({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))).encode() for _ in range(25)})
+        rng.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        pieces = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))).encode() for _ in range(40)]
+        want = []
+        for piece in pieces:
+            x = [piece[i : i + 1] for i in range(len(piece))]
+            while len(x) > 1 and (best := min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(x, x[1:], strict=False))))[0] < 1 << 30:
+                x[best[1] : best[1] + 2] = [x[best[1]] + x[best[1] + 1]]
+            want.append([ranks[t] for t in x])
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bpe, "PACKED", (1, 1 << 20)[trial % 2])
+            ids, sizes = bpe.Ranks(ranks).merge(pieces)
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+ODD = ["a", "b", " ", "  ", "\n", "\t", "'s", "é", "12", ".", "<|endoftext|>", "|>", "<|", " <", "\u3000", " x", "日本", "'", "\x1c", "the", " ing"]
+
+
+@pytest.mark.parametrize(("part", "limit"), [(4 << 20, 1 << 20), (3, 2000)])
+def test_words_encode_as_whole_texts(part, limit, monkeypatch):
+    """Texts with odd spaces and added tokens in all places; cut into very short parts and with a table that is soon full too."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += [f"{a}<|endoftext|>{b}" for a in ("", "word", "word ", "word.", "\n") for b in ("", "word", " word", "\n", "|>")]
+    monkeypatch.setattr(words, "PART", part)
+    library, model = PieceEncoder(VOCABULARY), tiktoken_model()
+    for coder, want in ((library, lambda t: library_ids(t)), (bpe.BytePairs(RANKS, public_tokenizers.PATTERN), model.encode_ordinary)):
+        coder.limit = limit
+        for lot in (texts[:2000], texts[2000:], texts[:50]):
+            ids, sizes = coder.encode(pa.array([t.encode() for t in lot], pa.binary()))
+            ends = np.cumsum(sizes)
+            assert [ids[e - n : e].tolist() for n, e in zip(sizes, ends, strict=True)] == [list(want(t)) for t in lot]
+    assert library.encode(pa.array([b"a\xffb", b""], pa.binary()))[0].tolist() == library_ids("a\ufffdb")
+    assert library_ids("foo<|endoftext|>")[-1] == 50256  # as the library takes it
 
 
 def check_packing(rows, texts, cap=1024):
@@ -441,6 +508,16 @@ def test_toxicity_hard_cases(spark, hard, none):
     assert len(rows) == len(HARD) and all(0 <= r["toxic_score"] <= 1 for r in rows)
     assert {r["lang"]: r["toxic_limit"] for r in rows} == {"en": 0.5, None: 0.5, "de": 0.7, "fr": 0.5, "es": 0.5}
     assert toxicity.score(none, model).count() == 0
+    long = " ".join(random.Random(1).choices(["you", "vile", "fool", "good", "bread", "are", "x"], k=300))
+    rows = model.words(long.split())
+    for blocks in ([rows], [rows[i : i + 7] for i in range(0, 300, 7)], [rows[i : i + 1] for i in range(300)]):  # against windows over the padded text
+        at, want = 0, []
+        for w in toxicity.WIDTHS:
+            padded = np.pad(rows[:, at : at + w * toxicity.FILTERS], ((w - 1, w - 1), (0, 0)))
+            every = [sum(padded[t + k, k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS] for k in range(w)) for t in range(300 + w - 1)]
+            want.append(np.maximum(np.max(every, axis=0), 0))
+            at += w * toxicity.FILTERS
+        assert np.allclose(model.pooled(blocks), np.concatenate(want), atol=1e-5)
     read = toxicity.Reader(model)
     assert model.score(read("such a Vile, fool")) > 0.5 > model.score(read("good bread and a fine day"))
     nothing = toxicity.train([], np.zeros(0, bool))
