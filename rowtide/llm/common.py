@@ -154,28 +154,3 @@ def resident(name: str, build: Callable[[], T]) -> T:
         pa.default_memory_pool().release_unused()
         _resident[name] = build()
     return _resident[name]
-
-
-class WordCache(dict):
-    """A worker's cache of at most ``limit`` entries; when full, they become ``old``, which may be asked, and go the next time. Results never depend on it.
-
-    One cache lives at a time in a worker, so stages that run one after another don't add up.
-    """
-
-    live: WordCache | None = None
-
-    def __init__(self, name: str, limit: int):
-        super().__init__()
-        self.name, self.limit = name, limit
-        self.old: dict = {}
-
-    @classmethod
-    def of(cls, name: str, limit: int) -> WordCache:
-        if cls.live is None or cls.live.name != name:
-            cls.live = cls(name, limit)
-        return cls.live
-
-    def room(self, coming: int = 1) -> None:
-        if len(self) + coming > self.limit:
-            self.old = dict(self)
-            self.clear()

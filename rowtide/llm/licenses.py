@@ -11,11 +11,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import Scratch, WordCache, text_rows
+from .common import Bounded, Scratch, resident, text_rows
 
 #: Words of a fingerprinted run; runs of a window, of which the least is kept. A shared stretch of GRAM + WINDOW - 1 words shares a fingerprint.
 GRAM, WINDOW = 3, 2
-BAND, COVERAGE, CACHE = 8, 0.8, 400_000
+BAND, COVERAGE, CACHE = 8, 0.8, 300_000
 EDGE, WORD = re.compile(r"^\W+|\W+$"), re.compile(r"\S+")
 
 #: Fixed texts: notices by which licenses are commonly named.
@@ -38,6 +38,21 @@ def word_code(word: str) -> int:
     return (xxhash.xxh64_intdigest(w.encode(), 3) or 1) if w else 0
 
 
+class WordCodes(Bounded):
+    """Numbers of words; a worker remembers CACHE of them at most between texts."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        for w in {w for w in words if w not in known}:
+            known[w] = word_code(w)
+        return np.array([known[w] for w in words], dtype=np.uint64)
+
+
 def winnow(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and fingerprints: the least of each window of WINDOW runs of GRAM words (the only one, where there is no whole window)."""
     n = len(codes) - GRAM + 1
@@ -156,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     Scratch(docs.sparkSession, "licenses")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = sent.value, WordCache.of("licenses", CACHE)
+        known, codes_of = sent.value, resident("licenses", WordCodes)
         names = ["id", "license", "coverage", "matched_words", "span_start", "span_end"]
         types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
         for b in batches:
@@ -164,12 +179,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             for key, body in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True):
                 text = body.decode("utf-8", "replace")
                 words = text.split()
-                new = {w for w in words if w not in cache}
-                if new:
-                    cache.room(len(new))
-                    for w in new if cache else set(words):
-                        cache[w] = word_code(w)
-                all_codes = np.array([cache[w] for w in words], dtype=np.uint64)
+                all_codes = codes_of(words)
                 place = np.flatnonzero(all_codes)
                 codes = all_codes[place]
                 found = known.candidates(codes)

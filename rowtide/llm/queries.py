@@ -35,10 +35,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    model, limits = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text", "lang"), model, limits, lang_col="lang")  # the language chooses a threshold, never a score
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(toxicity.FOLDS)) == 0
-    return scored.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_limit").alias("lang_threshold"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
