@@ -14,61 +14,83 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions, text_rows
 
 ORDER = 4
-#: Bytes of text in a block at least when it closes (a longer document makes a longer block).
-BLOCK = 6 << 20
+#: Bytes of text in a block at least when it closes (a longer document makes a longer block), and bytes looked at together.
+BLOCK, LOT = 6 << 20, 1 << 21
 #: Remainder of crc32(id) by FOLDS: trusted documents with 0 set thresholds, the others are counted.
 FOLDS = 5
 #: Share of trusted documents of a language that its threshold keeps; with fewer held-out documents the counted ones set it too.
 QUANTILE, LEAST_DOCS = 0.99, 50
 
 
-def codes(bodies: list[bytes], order: int) -> np.ndarray:
-    """The n-gram that ends at each byte of each text, as an integer of 8 bits a byte; before a text stand zero bytes."""
-    pad = b"\0" * (order - 1)
-    data = np.frombuffer(pad.join([b"", *bodies]), dtype=np.uint8)
-    n = np.zeros(len(data), dtype=np.int64)
-    for k in range(order):
-        n[k:] |= data[: len(data) - k].astype(np.int64) << (8 * k)
-    inside = np.ones(len(data), dtype=bool)
-    at = 0
-    for b in bodies:
-        inside[at : at + order - 1] = False
-        at += order - 1 + len(b)
-    return n[inside]
+def codes(bodies: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In lots of about LOT bytes: the n-gram that ends at each byte, as an integer of 8 bits a byte, and of which texts how many are there.
+
+    Before a text stand zero bytes; a longer text comes in several lots, each with the bytes before it.
+    """
+
+    def lot() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        n = np.zeros(len(data), dtype=np.int64)
+        for k in range(order):
+            n[k:] |= data[: len(data) - k].astype(np.int64) << (8 * k)
+        sizes = np.array([len(x) for x in parts], dtype=np.int64)
+        inside = np.ones(len(data), dtype=bool)
+        inside[(np.cumsum(sizes) - sizes)[:, None] + np.arange(order - 1)] = False
+        return n[inside], np.array(of, dtype=np.int64), sizes - (order - 1)
+
+    parts, of, held = [], [], 0
+    for k, body in enumerate(bodies):
+        for s in range(0, len(body), LOT):
+            parts.append((body[s - order + 1 : s] if s else b"\0" * (order - 1)) + body[s : s + LOT])
+            of.append(k)
+            held += len(parts[-1])
+            if held >= LOT:
+                yield lot()
+                parts, of, held = [], [], 0
+    if parts:
+        yield lot()
+
+
+def distinct_codes(bodies: list[bytes], order: int) -> np.ndarray:
+    out = np.zeros(0, dtype=np.int64)
+    for own, _, _ in codes(bodies, order):
+        out = np.union1d(out, own)
+    return out
 
 
 def blocks(docs: DataFrame, order: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """One row a block of about BLOCK bytes: its documents' ids, languages, sizes and compressed text, and its distinct n-grams, ascending."""
+    """One row a block of about BLOCK bytes: its documents' ids, hashes of their texts, languages, sizes and compressed text, and its distinct n-grams, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=3)
-        ids, langs, bodies, size = [], [], [], 0
+        ids, marks, langs, bodies, size = [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            grams = np.unique(codes(bodies, order))
+            grams = distinct_codes(bodies, order)
             steps = np.diff(grams, prepend=0)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 24 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([list(map(len, bodies))], pa.list_(pa.int32())),
+                [pa.array([part << 24 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([marks], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())), pa.array([list(map(len, bodies))], pa.list_(pa.int64())),
                  pa.array([squeeze.compress(b"".join(bodies))], pa.binary()), pa.array([squeeze.compress(steps.astype("<i8").tobytes())], pa.binary())],
-                ["block", "ids", "langs", "sizes", "text", "grams"],
+                ["block", "ids", "marks", "langs", "sizes", "text", "grams"],
             )
 
         for b in batches:
-            for i, lang, body in zip(*(b.column(c).to_pylist() for c in ("id", "lang", "body")), strict=True):
+            for i, mark, lang, body in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "lang", "body")), strict=True):
                 ids.append(i)
+                marks.append(mark)
                 langs.append(lang)
                 bodies.append(body)
                 size += len(body)
                 if size >= BLOCK or len(ids) >= 100_000:
                     yield close()
-                    n, ids, langs, bodies, size = n + 1, [], [], [], 0
+                    n, ids, marks, langs, bodies, size = n + 1, [], [], [], [], 0
         if ids:
             yield close()
 
     rows = text_rows(docs, id_col, text_col, lang_col)
-    rows = rows.select("id", F.col(lang_col).cast("string").alias("lang"), "body")
-    return rows.mapInArrow(run, "block long, ids array<long>, langs array<string>, sizes array<int>, text binary, grams binary")
+    rows = rows.select("id", F.xxhash64("body").alias("mark"), F.col(lang_col).cast("string").alias("lang"), "body")
+    return rows.mapInArrow(run, "block long, ids array<long>, marks array<long>, langs array<string>, sizes array<long>, text binary, grams binary")
 
 
 def unpack(text: bytes, sizes: list[int]) -> list[bytes]:
@@ -88,8 +110,9 @@ def trusted_counts(table: DataFrame, chosen: DataFrame, order: int) -> DataFrame
         for b in batches:
             for ids, sizes, text, own in zip(*(b.column(c).to_pylist() for c in ("ids", "sizes", "text", "chosen")), strict=True):
                 wanted = set(own)
-                gram, n = np.unique(codes([x for i, x in zip(ids, unpack(text, sizes), strict=True) if i in wanted], order), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+                for own, _, _ in codes([x for i, x in zip(ids, unpack(text, sizes), strict=True) if i in wanted], order):
+                    gram, n = np.unique(own, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     rows = table.select("block", "ids", "sizes", "text").join(chosen, "block").select("ids", "sizes", "text", "chosen")
     return rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -153,7 +176,7 @@ def stored(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def weighed(table: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """(id, lang, n_bytes, perplexity) of all documents of a table of blocks."""
+    """(id, mark, lang, n_bytes, perplexity) of all documents of a table of blocks."""
     order = model.order
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,21 +192,22 @@ def weighed(table: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, langs, sizes, text, packed, lp in zip(*(b.column(c).to_pylist() if c != "lp" else [x.values.to_numpy() for x in b.column(c)] for c in ("ids", "langs", "sizes", "text", "grams", "lp")), strict=True):
-                grams = grams_of(packed)
-                run = np.r_[0.0, np.cumsum(lp.astype(np.float64)[np.searchsorted(grams, codes(unpack(text, sizes), order))])]
-                ends = np.cumsum([0, *sizes])
-                size = np.diff(ends)
+            for k, lp in enumerate(b.column("lp")):
+                ids, marks, langs, sizes, text, packed = (b.column(c)[k].as_py() for c in ("ids", "marks", "langs", "sizes", "text", "grams"))
+                grams, lp = grams_of(packed), lp.values.to_numpy().astype(np.float64)
+                total, size = np.zeros(len(ids)), np.array(sizes, dtype=np.int64)
+                for own, of, n in codes(unpack(text, sizes), order):
+                    np.add.at(total, of, np.add.reduceat(lp[np.searchsorted(grams, own)], np.cumsum(n) - n))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    mean = (run[ends[1:]] - run[ends[:-1]]) / size
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size.astype(np.int64)), pa.array(np.exp(-mean), mask=size == 0)], ["id", "lang", "n_bytes", "perplexity"])
+                    perplexity = np.exp(-total / size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(langs, pa.string()), pa.array(size), pa.array(perplexity, mask=size == 0)], ["id", "mark", "lang", "n_bytes", "perplexity"])
 
-    scored = table.select("block", "ids", "langs", "sizes", "text", "grams").join(back, "block", "left").select("ids", "langs", "sizes", "text", "grams", F.coalesce("lp", F.array().cast("array<float>")).alias("lp"))
-    return scratch.save(scored.mapInArrow(weigh, "id long, lang string, n_bytes long, perplexity double"), "scored")
+    scored = table.select("block", "ids", "marks", "langs", "sizes", "text", "grams").join(back, "block", "left").select("ids", "marks", "langs", "sizes", "text", "grams", F.coalesce("lp", F.array().cast("array<float>")).alias("lp"))
+    return scratch.save(scored.mapInArrow(weigh, "id long, mark long, lang string, n_bytes long, perplexity double"), "scored")
 
 
 def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """(id, lang, n_bytes, perplexity, threshold, keep), one row per document, perplexity per byte.
+    """(id, lang, n_bytes, perplexity, threshold, keep, mark), one row per document, perplexity per byte; mark is XXH64 of the text by Spark.
 
     Trusted text: documents all of whose labels say quality 1. Four of five (by crc32 of the id) are counted, the fifth sets each
     language's threshold: the ``quantile`` of its documents' perplexities, never another language's. In a language with fewer than
@@ -219,4 +243,4 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str =
             held = held.unionByName(weighed(part, without(fold, own), own).where("perplexity is not null").select("lang", "perplexity"))
     by_lang = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     out = scored.join(by_lang, scored["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"])
-    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"), "mark")
