@@ -16,7 +16,7 @@ from .common import Scratch, components, partitions, text_rows
 SEED, RADIUS = 42, 4
 #: Fingerprints of one side of a comparison; larger nodes of the index are dealt out as pairs of chunks.
 CHUNK = 16_384
-FANOUT, SMALL, PAIRS = 16, 48, 1 << 16
+FANOUT, PAIRS = 16, 1 << 16
 #: Shingles of many texts whose numbers are known to all tasks, at most; they stand last in the order of shingles.
 COMMON = 50_000
 
@@ -41,13 +41,20 @@ def majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is 1."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ones
+
+
 def fingerprint(text: bytes, words: int = 4) -> int:
     """64 bits; a bit is 1 if it is 1 in over half of the shingles' hashes. Without words: 0."""
     ones, n = np.zeros(64, dtype=np.int64), 0
     for h in shingle_hashes(text, words):
         n += len(h)
-        for i in range(0, len(h), 4096):
-            ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += bit_counts(h)
     return majority(ones, n)
 
 
@@ -88,34 +95,35 @@ class Forest:
 
 
 class GrayIndex:
-    """Fingerprints in Gray order under nodes of FANOUT children.
+    """Fingerprints under their roots, in Gray order below each, with nodes of FANOUT children up to the root.
 
-    A node keeps the bits that all its fingerprints share (mask and pattern). Two nodes differ in at least
-    the bits where both patterns are fixed and unequal, so a pair of groups with more such bits than the
-    radius is left out whole; the count grows from level to level down to the fingerprints themselves.
+    A node keeps the bits that all its fingerprints share (mask and pattern). Two nodes differ in at least the bits
+    where both patterns are fixed and unequal, so a pair of groups with more such bits than the radius is left out
+    whole; the count grows from level to level down to the fingerprints themselves. Many roots are searched at once.
     """
 
-    def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
-        every = ones = fps[self.order]
-        self.levels = []
-        while True:
+    def __init__(self, roots: np.ndarray, fps: np.ndarray):
+        self.order = np.lexsort((gray_rank(fps), roots))
+        every, root = fps[self.order], roots[self.order]
+        ones, n = every, len(every)
+        self.levels = [(every, ~np.zeros(n, np.uint64))]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(n), np.ones(n, np.int64))]
+        while n and len(first := np.flatnonzero(np.r_[True, root[1:] != root[:-1]])) < n or len(self.levels) == 1:
+            place = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n])) if n else np.arange(0)
+            at = np.flatnonzero(place % FANOUT == 0)
+            every, ones, root = (np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(ones, at), root[at]) if n else (every, ones, root)
             self.levels.append((every, ~(every ^ ones)))
-            if len(every) <= FANOUT:
-                break
-            at = np.arange(0, len(every), FANOUT)
-            every, ones = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(ones, at)
+            self.children.append((at, np.diff(np.r_[at, n])))
+            n = len(at)
 
     def near(self, level: int, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
         pattern, mask = self.levels[level]
         return np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= radius
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions in the given order of all pairs within the radius, in bounded lots."""
-        top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][0]))
-        todo = [(top, i, j)]
-        child = np.arange(FANOUT)
+        """Positions in the given order of all pairs of one root within the radius, in bounded lots."""
+        every = np.arange(len(self.levels[-1][0]))
+        todo = [(len(self.levels) - 1, every, every)]
         while todo:
             level, i, j = todo.pop()
             keep = self.near(level, i, j, radius)
@@ -125,37 +133,27 @@ class GrayIndex:
                 if other.any():
                     yield self.order[i[other]], self.order[j[other]]
                 continue
-            n = len(self.levels[level - 1][0])
+            first, size = self.children[level]
             for k in range(0, len(i), PAIRS // FANOUT**2):
-                a = (i[k : k + PAIRS // FANOUT**2, None, None] * FANOUT + child[:, None]) + 0 * child
-                b = (j[k : k + PAIRS // FANOUT**2, None, None] * FANOUT + child[None, :]) + 0 * child[:, None]
-                a, b = a.ravel(), b.ravel()
-                keep = (a <= b) & (a < n) & (b < n)
+                x, y = i[k : k + PAIRS // FANOUT**2], j[k : k + PAIRS // FANOUT**2]
+                n = size[x] * size[y]
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                wide = np.repeat(size[y], n)
+                a, b = np.repeat(first[x], n) + at // wide, np.repeat(first[y], n) + at % wide
+                keep = a <= b
                 todo.append((level - 1, a[keep], b[keep]))
 
 
 def spanning(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by key: pairs of rows that connect, within each key, whatever lies within the radius of each other."""
-    n = len(fps)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    size = np.diff(np.r_[first, n])
-    forest = Forest(n)
-
-    left = np.repeat(first + size, size) - np.arange(n)  # rows of the key from this one on
-    at = np.flatnonzero(np.repeat(size <= SMALL, size) & (left > 1))
-    step = 1
-    while len(at):
-        near = np.bitwise_count(fps[at] ^ fps[at + step]) <= radius
-        forest.link(at[near], at[near] + step)
-        step += 1
-        at = at[left[at] > step]
-    for f, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        for i, j in GrayIndex(fps[f : f + s]).pairs(radius):
-            forest.link(i + f, j + f)
-    linked = np.flatnonzero(forest.up != np.arange(n))
-    return linked, forest.up[linked]
+    same = keys[1:] == keys[:-1]
+    rows = np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(keys) else np.zeros(0, np.int64)  # not alone under their root
+    forest = Forest(len(rows))
+    if len(rows):
+        for i, j in GrayIndex(keys[rows], fps[rows]).pairs(radius):
+            forest.link(i, j)
+    linked = np.flatnonzero(forest.up != np.arange(len(rows)))
+    return rows[linked], rows[forest.up[linked]]
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -191,7 +189,9 @@ def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFram
     """(a, b): links among the ``cid`` of distinct fp that have the components of all pairs within the radius.
 
     Each root of the index fixes one masked pattern, so a fingerprint goes to C(radius + 2, 2) roots, whatever the
-    size of the table. A root over CHUNK fingerprints is dealt out as pairs of its chunks.
+    size of the table; below its root it is searched in the :class:`GrayIndex`. A root over CHUNK fingerprints is dealt
+    out as pairs of its chunks. (One Gray order of all fingerprints can't be dealt out by ranges: with 2**k ranges about
+    k bits of a range are fixed, and at k = 8 a fingerprint is within 4 of them for 64 % of the ranges.)
     """
     masks = [m - (1 << 64) if m >> 63 else m for m in views(radius)]
     rooted = classes.select("cid", "fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
@@ -218,24 +218,25 @@ def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFram
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingles' hashes, ascending."""
-    found = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, s1, s2, shingles): the fingerprint, 128 bits that name the set of shingles, and the set."""
+    """(id, mark, fp, s1, s2, shingles): a hash of the text, the fingerprint, 128 bits that name the set of shingles, and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = b.column("body").to_pylist()
-            sets = [shingle_set(t, words).tobytes() for t in bodies]
-            fps = np.array([fingerprint(t, words) for t in bodies], dtype=np.uint64).view(np.int64)
+            sets, fps = [], []
+            for body in b.column("body"):
+                ones, n, own = np.zeros(64, dtype=np.int64), 0, []
+                for h in shingle_hashes(body.as_py(), words):
+                    n += len(h)
+                    ones += bit_counts(h)
+                    own.append(h)
+                fps.append(majority(ones, n))
+                sets.append((np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)).tobytes())
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sets), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary())], ["id", "fp", "s1", "s2", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary())], ["id", "mark", "fp", "s1", "s2", "shingles"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long, s1 long, s2 long, shingles binary")
+    rows = text_rows(docs, id_col, text_col)
+    return rows.withColumn("mark", F.xxhash64("body")).mapInArrow(run, "id long, mark long, fp long, s1 long, s2 long, shingles binary")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -324,16 +325,26 @@ def open_pairs(groups: DataFrame, found: DataFrame, similarity: float) -> DataFr
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(sets: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def close_prints(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b): classes whose fingerprints the index links, or that have the same fingerprint."""
+    prints = scratch.save(classes.groupBy("fp").agg(F.min("cid").alias("cid")), "prints")
+    same = classes.select("fp", "cid").join(prints.select("fp", F.col("cid").alias("a")), "fp").where("a != cid").select("a", F.col("cid").alias("b"))
+    return same.unionByName(hamming_links(prints, radius, scratch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def similar_links(sets: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """(a, b): links among the ``cid`` of distinct sets that have the components of all pairs at or over the similarity.
 
-    The members of each group are compared with its least first; then only what those links leave apart is.
+    Compared first are those whose fingerprints are close and, of each group that shares a rare shingle, all members with
+    the least; then only what those links leave apart is. At a similarity of 0.8 fingerprints are about 10 of 64 bits
+    apart, where no index over them can leave pairs out, so they alone can't find all links.
     """
     groups = scratch.save(prefix_groups(sets, classes, similarity), "groups")
-    asked = groups.select(F.explode("members.cid").alias("row")).distinct()
-    few = scratch.save(sets.join(asked, "row", "left_semi").select(F.col("row").alias("cid"), "shingles"), "asked-sets")
     first = groups.select(F.col("members")[0]["cid"].alias("a"), F.col("members")[0]["n"].alias("n"), F.explode(F.slice("members", 2, 2**31 - 1)).alias("m"))
-    first = first.where(F.col("n") >= similarity * F.col("m.n") - 1e-6).select("a", F.col("m.cid").alias("b")).distinct()
+    first = first.where(F.col("n") >= similarity * F.col("m.n") - 1e-6).select(F.least("a", "m.cid").alias("a"), F.greatest("a", "m.cid").alias("b"))
+    first = scratch.save(first.unionByName(close_prints(classes, radius, scratch)).distinct(), "first")
+    asked = groups.select(F.explode("members.cid").alias("row")).unionByName(first.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
+    few = scratch.save(sets.join(asked, "row", "left_semi").select(F.col("row").alias("cid"), "shingles"), "asked-sets")
     near = scratch.save(verified(first, few, similarity), "near-first")
     found = components(near, scratch, "cc-first")
     rest = scratch.save(verified(open_pairs(groups, found, similarity), few, similarity), "near-rest")
@@ -345,7 +356,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints within ``radius`` bits link; component_id is the least id reachable. With ``similarity``, texts link
     whose sets of shingles have at least that Jaccard similarity, whatever their fingerprints: every such pair is found and
-    each link is verified on the sets. Null and empty texts, and texts without words, have fingerprint zero. Rows with a null
+    each link is verified on the sets; two more columns are mark (XXH64 of the text by Spark) and kept, true for one row of each
+    component: that of the least id (null last), then of the least mark. Null and empty texts, and texts without words, have fingerprint zero. Rows with a null
     id get a fingerprint and the component's least id that isn't null. Repeated rows are returned as often as given.
     An empty table gives an empty result.
     """
@@ -358,12 +370,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         key = ["s1", "s2"]
         fps = scratch.save(shingle_sets(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-        classes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("least"), F.min("row").alias("cid")), "classes")
-        links = similar_links(fps.select("row", "shingles"), classes, similarity, scratch)
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
+        classes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("least"), F.min("row").alias("cid"), F.first("fp").alias("fp"), first), "classes")
+        links = similar_links(fps.select("row", "shingles"), classes, similarity, scratch, radius)
     found = components(links, scratch)
     grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.save(grouped.join(least, "component").select(*key, "component_id"), "named")
-    for name in ("classes", "links", "large-roots", "groups", "asked-sets", "near-first", "near-rest"):  # nothing reads them any more
+    if similarity is None:
+        least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+        more = []
+    else:
+        least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"))
+        more = ["mark", (F.col("row") == F.col("kept_row")).alias("kept")]
+    named = scratch.save(grouped.join(least, "component").select(*key, *least.columns[1:]), "named")
+    for name in ("classes", "links", "large-roots", "prints", "groups", "first", "asked-sets", "near-first", "near-rest"):  # nothing reads them any more
         scratch.drop(name)
-    return fps.select("id", "fp", *(k for k in key if k != "fp")).join(named, key).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = fps.drop("shingles").join(named, key)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
