@@ -52,8 +52,6 @@ class BinlogRows:
                     if error:
                         yield (e.binlog, e.pos, e.ts, e.op, e.db, e.tb, None, None, None, error)
                     for i, (before, after) in enumerate(rows):
-                        if e.op == "delete":
-                            before, after = after, None
                         yield (e.binlog, e.pos, e.ts, e.op, e.db, e.tb, i, text(before), text(after), None)
 
 

@@ -40,14 +40,6 @@ def number(feed: DataFrame, part: str = "file_ord", order: tuple[str, ...] = ("p
     return running(feed, begins(), "trx_id", part, order).withColumn("status", status())
 
 
-def from_splits(events: DataFrame) -> DataFrame:
-    """trx_id and run_id of events that the source counted within each stretch: only the stretches' totals are summed up."""
-    totals = events.groupBy("file_ord", "split").agg(F.max("trx").alias("_t"), F.max("run").alias("_r"))
-    w = W.orderBy("file_ord", "split").rowsBetween(W.unboundedPreceding, -1)  # one row a stretch
-    before = totals.select("file_ord", "split", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_t"), F.coalesce(F.sum("_r").over(w), F.lit(0)).alias("_r"))
-    return events.join(before, ["file_ord", "split"]).withColumn("trx_id", F.col("trx") + F.col("_t")).withColumn("run_id", F.col("run") + F.col("_r")).drop("_t", "_r")
-
-
 def segments(feed: DataFrame, part: str = "file_ord", order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """``segment``: number of the contiguous run of one binlog name, over the whole feed."""
     changed = F.when(F.lag("binlog").over(W.partitionBy(part).orderBy(*order)).eqNullSafe(F.col("binlog")), 0).otherwise(1)

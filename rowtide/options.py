@@ -79,7 +79,7 @@ class Options:
     server_id: int | None = None
     resume_file: str | None = None
     heartbeat_secs: int = 30
-    split_bytes: int = 0
+    split_bytes: int = 32 << 20
     strict_parity: bool = False
     offset: int = field(init=False, default=0)
     start_ts: int | None = field(init=False, default=None)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import extra_info, keyword, moment, out_file
 from ..operators import render, stats
 from ..operators.maps import with_schema
-from ..operators.trx import from_splits
 from ..options import Options
 from ..sources import sinks
 from ..sources.binlog import plan_ranges, register
@@ -24,8 +23,9 @@ def style(o: Options) -> render.Style:
 
 def read(spark: SparkSession, o: Options, view: str) -> DataFrame:
     register(spark)
-    options = o.reader() | {"view": view, "ranges": plan_ranges(spark, o.binlog_dir, o.split_bytes)}
-    return from_splits(spark.read.format("binlog").options(**options).load())
+    options = o.reader() | {"view": view}
+    found = spark.read.format("binlog").options(**options, ranges=plan_ranges(spark, options, o.split_bytes)).load()
+    return found.withColumnsRenamed({"trx": "trx_id", "run": "run_id"})
 
 
 def tables(o: Options) -> list[dict]:

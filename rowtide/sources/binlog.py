@@ -11,12 +11,14 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from .catalog import columns_of, read_catalog
+from .cells import ImageColumn
 from .events import Bounds, Event, Images, boundaries, name_key, read_log
 from .files import list_logs, open_log
 
@@ -55,65 +57,58 @@ def bounds_of(o: dict) -> Bounds:
 
 
 class Batches:
-    """Arrow batches of one view."""
+    """Arrow batches of one view. An event's own columns are made once and repeated for its rows."""
 
     def __init__(self, view: str, images: Images | None):
         self.view, self.images = view, images
         self.clear()
 
     def clear(self) -> None:
-        self.rows: list[tuple] = []
-        self.extra: list = []
-        self.n_cells = 0
+        self.events: list[tuple] = []
+        self.rows: list[int] = []  # of each event, one at least
+        self.changed: list[int] = []  # row images of each event
+        self.before, self.after = ImageColumn(), ImageColumn()
 
     def add(self, e: Event, split: int) -> None:
-        error, rows = e.error, []
+        error, n = e.error, 0
         if self.view != "events" and e.kind == "rows" and self.images:
-            rows, error = self.images.rows(e)
-        scalar = (e.file_ord, e.binlog, e.start_pos, e.end_pos, e.pos, e.ts, e.type, e.kind, e.op, e.db, e.tb, e.sql, e.n_log, split, e.trx, e.run, error)
-        if self.view == "facts":
-            self.rows.append(scalar)
-            self.extra.append(len(rows) if e.kind == "rows" else None)
-        elif self.view == "changes" and rows:
-            for i, (before, after) in enumerate(rows):
-                self.rows.append(scalar)
-                if e.op == "delete":
-                    before, after = after, None
-                self.extra.append((i, before, after))
-                self.n_cells += len(before or ()) + len(after or ())
-        else:
-            self.rows.append(scalar)
-            self.extra.append((None, None, None))
+            n, error = self.images.into(e, self.before, self.after)
+        if self.view == "facts":  # only the number is wanted
+            self.before, self.after = ImageColumn(), ImageColumn()
+        elif not n:
+            self.before.add(None)
+            self.after.add(None)
+        self.events.append((e.file_ord, e.binlog, e.start_pos, e.end_pos, e.pos, e.ts, e.type, e.kind, e.op, e.db, e.tb, e.sql, e.n_log, split, e.trx, e.run, error))
+        self.changed.append(n)
+        self.rows.append(n if n and self.view == "changes" else 1)
 
     @property
     def full(self) -> bool:
-        return len(self.rows) >= BATCH_ROWS or self.n_cells >= BATCH_CELLS
+        return len(self.events) >= BATCH_ROWS or len(self.before.sizes) >= BATCH_ROWS or len(self.before.tags) + len(self.after.tags) >= BATCH_CELLS
 
     def batch(self) -> pa.RecordBatch:
-        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*self.rows, strict=True) if self.rows else [()] * len(SCALARS), SCALARS, strict=True)]
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*self.events, strict=True), SCALARS, strict=True)]
         names = [n for n, _ in SCALARS]
         if self.view == "changes":
-            columns.append(pa.array([x[0] for x in self.extra], pa.int32()))
-            columns += [images_column([x[i] for x in self.extra]) for i in (1, 2)]
+            counts, changed = np.array(self.rows), np.array(self.changed)
+            if counts.max() > 1:
+                event = pa.array(np.repeat(np.arange(len(counts)), counts))
+                columns = [c.take(event) for c in columns]
+            row = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns += [pa.array(row.astype(np.int32), mask=np.repeat(changed == 0, counts)), images_column(self.before), images_column(self.after)]
             names += ["row_no", "before", "after"]
         elif self.view == "facts":
-            columns.append(pa.array(self.extra, pa.int64()))
+            columns.append(pa.array([n if e[7] == "rows" else None for n, e in zip(self.changed, self.events, strict=True)], pa.int64()))
             names.append("rows")
         self.clear()
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-def images_column(images: list) -> pa.ListArray:
-    offsets, cells, at = [], [], 0
-    for image in images:
-        offsets.append(None if image is None else at)
-        if image is not None:
-            cells += image
-            at += len(image)
-    offsets.append(at)
-    tag, txt, raw = zip(*cells, strict=True) if cells else ((), (), ())
-    values = pa.StructArray.from_arrays([pa.array(tag, pa.string()), pa.array(txt, pa.string()), pa.array(raw, pa.binary())], ["tag", "txt", "bin"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+def images_column(images: ImageColumn) -> pa.ListArray:
+    values = pa.StructArray.from_arrays([pa.array(images.tags, pa.string()), pa.array(images.texts, pa.string()), pa.array(images.raws, pa.binary())], ["tag", "txt", "bin"])
+    sizes = np.array([-1 if n is None else n for n in images.sizes])
+    offsets = np.cumsum(np.r_[0, np.maximum(sizes, 0)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[sizes < 0, False]), values)
 
 
 def emit(events: Iterator[Event], view: str, images: Images | None, split: int) -> Iterator[pa.RecordBatch]:
@@ -122,7 +117,7 @@ def emit(events: Iterator[Event], view: str, images: Images | None, split: int)
         out.add(e, split)
         if out.full:
             yield out.batch()
-    if out.rows:
+    if out.events:
         yield out.batch()
 
 
@@ -178,13 +173,17 @@ class BinlogReader(DataSourceReader):
         return found
 
     def partitions(self) -> list[Stretch]:
+        """With ``ranges``, transactions and BEGINs are counted on from one stretch to the next, over all files; else within each stretch."""
         ranges = json.loads(self.options["ranges"]) if self.options.get("ranges") else {}
-        out = []
+        out, trx, run = [], 0, 0
         for i, (name, path) in enumerate(self.logs()):
-            cuts = [4, *ranges.get(name, [])]
+            cuts, begun, runs = ranges.get(name) or ([], [0], [0])
             if self.bounds.stop_ts is not None:  # take-while by time needs a file in order
-                cuts = [4]
-            out += [Stretch(path, name, i, k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
+                cuts, begun, runs = [], [sum(begun)], [sum(runs)]
+            places = [4, *cuts]
+            for k, (a, b) in enumerate(zip(places, [*places[1:], None], strict=True)):
+                out.append(Stretch(path, name, i, k, a, b, trx, run))
+                trx, run = trx + begun[k], run + runs[k]
         return out
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
@@ -197,19 +196,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BinlogSource)
 
 
-def plan_ranges(spark: SparkSession, path: str, split_bytes: int) -> str:
-    """Cut points of the folder's logs as the ``ranges`` option, found by a job that hops headers, a task a file."""
-    logs = list_logs(path, None)
-    if not logs or not split_bytes:
+def plan_ranges(spark: SparkSession, options: dict, split_bytes: int) -> str:
+    """Cut points of the window's logs and what each stretch counts, as the ``ranges`` option; found by a job that hops headers, a task a file."""
+    bounds = bounds_of(options)
+    logs = BinlogReader(options, "events", None).logs()
+    if not logs:
         return "{}"
     frame = spark.createDataFrame(logs, "name string, path string").repartition(len(logs))
+    schema = "name string, cuts array<long>, trx array<long>, run array<long>"
 
     def hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, cuts = b.column("name").to_pylist(), []
-            for p in b.column("path").to_pylist():
+            names, found = b.column("name").to_pylist(), []
+            for name, p in zip(names, b.column("path").to_pylist(), strict=True):
                 with open_log(p) as f:
-                    cuts.append(boundaries(f, split_bytes))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(cuts, pa.list_(pa.int64()))], ["name", "cuts"])
+                    found.append(boundaries(f, split_bytes, name, bounds))
+            lists = [pa.array([getattr(x, c) for x in found], pa.list_(pa.int64())) for c in ("cuts", "trx", "run")]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *lists], ["name", "cuts", "trx", "run"])
 
-    return json.dumps({r["name"]: r["cuts"] for r in frame.mapInArrow(hop, "name string, cuts array<long>").collect() if r["cuts"]})
+    return json.dumps({r["name"]: [r["cuts"], r["trx"], r["run"]] for r in frame.mapInArrow(hop, schema).collect()})

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import BinaryIO
 
 from . import wire
-from .cells import Cell, RowReader
+from .cells import Cell, ImageColumn, RowReader
 from .wire import LogError, TooShort, Unsupported
 
 
+#: Table maps that a decoder remembers by their bytes.
+KNOWN_MAPS = 4096
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Window and lists that are applied while reading; names compare by (base, number)."""
@@ -44,7 +48,7 @@ def name_key(name: str) -> tuple[str, int]:
     return (base, int(number)) if dot and number.isascii() and number.isdigit() else (name, -1)
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Event:
     file_ord: int
     binlog: str
@@ -104,6 +108,7 @@ class Decoder:
         self.name, self.file_ord, self.bounds, self.strict = name, file_ord, bounds, strict
         self.crc: bool | None = None
         self.maps: dict[int, tuple[wire.TableMap, int]] = {}
+        self.known: dict[bytes, wire.TableMap] = {}
         self.trx, self.run, self.done = trx, run, False
 
     def feed(self, at: int, h: wire.Header, body: Callable[[], bytes]) -> Event | None:
@@ -124,40 +129,43 @@ class Decoder:
             data = data[:-4]
         pending = self.bounds.pending(self.name, h.log_pos, h.ts)
         if h.type == wire.TABLE_MAP:
-            table = wire.parse_table_map(data)
+            table = self.known.get(data)
+            if table is None:
+                if len(self.known) >= KNOWN_MAPS:
+                    self.known.clear()
+                table = self.known[data] = wire.parse_table_map(data)
             if self.strict:  # only the latest map counts
                 self.maps.clear()
             self.maps[table.table_id] = (table, h.start)
             return None
         if pending or h.type == wire.PREVIOUS_GTIDS:
             return None
-        base = Event(self.file_ord, self.name, h.start, h.log_pos, at, h.ts, h.type, "other")
+        at = (self.file_ord, self.name, h.start, h.log_pos, at, h.ts, h.type)
+        if h.type in wire.ROWS:
+            return self.rows_event(at, h, data)
+        kind, db, sql = "other", None, None
         if h.type == wire.QUERY:
+            kind = "query"
             db, sql = wire.parse_query(data)
             word = keyword(sql)
             self.trx += word not in ("", "commit", "rollback")
             self.run += word == "begin"
-            base = replace(base, kind="query", db=db, sql=sql)
         elif h.type == wire.XID:
-            base = replace(base, kind="xid")
+            kind = "xid"
         elif h.type in (wire.GTID, wire.ANONYMOUS_GTID):
-            base = replace(base, kind="gtid")
+            kind = "gtid"
         elif h.type == wire.ROTATE:
             if len(data) < 8:
                 raise TooShort
-            base = replace(base, kind="rotate", sql=data[8:].decode("utf-8", "replace"))
-            self.name = base.sql  # later events carry the new name
+            kind, sql = "rotate", data[8:].decode("utf-8", "replace")
+            self.name = sql  # later events carry the new name
         elif h.type in (20, 21, 22):
             raise LogError("rows events of version 0 are not supported")
         elif h.type == wire.PARTIAL_UPDATE:
             raise Unsupported("partial row updates are not supported")
-        elif h.type in wire.ROWS:
-            base = self.rows_event(base, h, data)
-            if base is None:
-                return None
-        return replace(base, trx=self.trx, run=self.run)
+        return Event(*at, kind, db=db, sql=sql, trx=self.trx, run=self.run)
 
-    def rows_event(self, base: Event, h: wire.Header, data: bytes) -> Event | None:
+    def rows_event(self, at: tuple, h: wire.Header, data: bytes) -> Event | None:
         op, v2 = wire.ROWS[h.type]
         if not self.maps:
             raise LogError("a rows event before any table map")
@@ -165,7 +173,7 @@ class Decoder:
         table, start = self.maps.get(table_id) or next(reversed(self.maps.values()))
         if not self.bounds.wants(op, table.db, table.tb):
             return None
-        return replace(base, start_pos=start, kind="rows", op=op, db=table.db, tb=table.tb, v2=v2, n_log=len(table.types), table=table, body=data)
+        return Event(at[0], at[1], start, *at[3:], "rows", op, table.db, table.tb, None, v2, len(table.types), self.trx, self.run, None, table, data)
 
 
 def read_log(f: BinaryIO, name: str, file_ord: int, bounds: Bounds, start: int = 4, end: int | None = None, strict: bool = False, fail_fast: bool = False, trx: int = 0, run: int = 0) -> Iterator[Event]:
@@ -204,47 +212,70 @@ class Images:
         self.catalog = catalog
         self.readers: dict[wire.TableMap, RowReader] = {}
 
-    def rows(self, e: Event) -> tuple[list[tuple[list[Cell] | None, list[Cell]]], str | None]:
-        """The event's rows, or an error: no schema, or bytes that don't decode."""
+    def rows(self, e: Event) -> tuple[list[tuple[list[Cell] | None, list[Cell] | None]], str | None]:
+        """The event's rows as (before, after), or an error."""
+        before, after = ImageColumn(), ImageColumn()
+        n, error = self.into(e, before, after)
+        return list(zip(before.images(), after.images(), strict=True)) if n else [], error
+
+    def into(self, e: Event, before: ImageColumn, after: ImageColumn) -> tuple[int, str | None]:
+        """Adds the event's row images to the two columns: the number of rows, or an error (no schema, or bytes that don't decode)."""
         assert e.table
-        columns = self.catalog.get((e.table.db, e.table.tb))
-        if columns is None:
-            return [], f"no_schema: no schema for `{e.table.db}`.`{e.table.tb}`"
         reader = self.readers.get(e.table)
         if reader is None:
+            columns = self.catalog.get((e.table.db, e.table.tb))
+            if columns is None:
+                return 0, f"no_schema: no schema for `{e.table.db}`.`{e.table.tb}`"
             reader = self.readers[e.table] = RowReader(e.table, columns)
         try:
-            return reader.rows(e.body, e.op == "update", bool(e.v2)), None
+            return reader.into(e.body, e.op or "", bool(e.v2), before, after), None
         except LogError as err:
-            return [], f"{err.code}: {err}"
+            return 0, f"{err.code}: {err}"
         except RecursionError:
-            return [], "invalid_data: nested too deep"
+            return 0, "invalid_data: nested too deep"
+
+
+@dataclass
+class Stretches:
+    """Places of one log between transactions, and the transactions and BEGINs that each stretch between them has."""
 
+    cuts: list[int]
+    trx: list[int]
+    run: list[int]
 
-def boundaries(f: BinaryIO, every: int) -> list[int]:
-    """Places between transactions, about ``every`` bytes apart, found by hopping from header to header."""
+
+def boundaries(f: BinaryIO, every: int = 0, name: str = "", bounds: Bounds | None = None) -> Stretches:
+    """Stretches of about ``every`` bytes (0: one), found by hopping from header to header; only bodies of statements are read.
+
+    Counted is what a :class:`Decoder` counts within the same bounds. A damaged log ends with what is there.
+    """
+    out, last, open_trx, crc = Stretches([], [0], [0]), 4, False, False
     f.seek(0)
     if f.read(4) != wire.MAGIC:
-        return []
-    cuts, last, open_trx = [], 4, False
+        return out
+    bounds = bounds or Bounds()
     try:
         for at, h, body in frames(f, 4, None):
-            if at - last >= every and not open_trx:
-                cuts.append(at)
+            if bounds.stopped(name, h.log_pos, h.ts):
+                break
+            if every and at - last >= every and not open_trx:
+                out.cuts.append(at)
+                out.trx.append(0)
+                out.run.append(0)
                 last = at
-            if h.type == wire.QUERY:
+            if h.type == wire.FORMAT:
+                crc = wire.parse_format(body())
+            elif h.type == wire.QUERY:
                 data = body()[wire.HEADER_SIZE :]
-                open_trx = keyword(wire.parse_query(data)[1]) == "begin" or (open_trx and not is_end(data))
+                word = keyword(wire.parse_query(data[:-4] if crc else data)[1])
+                open_trx = word == "begin" or (open_trx and word not in ("commit", "rollback"))
+                if not bounds.pending(name, h.log_pos, h.ts):
+                    out.run[-1] += word == "begin"
+                    out.trx[-1] += word not in ("", "commit", "rollback")
             elif h.type == wire.XID:
                 open_trx = False
             elif h.type in (wire.TABLE_MAP, *wire.ROWS):
                 open_trx = True
     except LogError:
         pass  # the reader of the last stretch reports it
-    return cuts
-
-
-def is_end(query: bytes) -> bool:
-    """COMMIT or ROLLBACK, with or without a checksum behind it."""
-    word = keyword(wire.parse_query(query)[1])
-    return word.startswith(("commit", "rollback"))
+    return out

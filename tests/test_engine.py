@@ -382,6 +382,71 @@ def test_hostile_bytes_only_raise_log_errors(raw):
             pass
 
 
+KINDS = [(1, 0, 1), (2, 0, 2), (9, 0, 3), (3, 0, 4), (8, 0, 8), (246, 10 << 8 | 3, None), (246, 18 << 8 | 9, None), (246, 5 << 8, None), (18, 0, None), (18, 3, None), (253, 90, None), (253, 900, None), (5, 8, 8), (252, 2, None), (247, 1, 1), (16, 1 << 8 | 1, 2)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_compiled_images_are_the_plain_ones(data):
+    """Any columns, nulls and operations; bytes that don't decode leave nothing behind and give the plain readers' error."""
+    picked = data.draw(st.lists(st.sampled_from(KINDS), min_size=1, max_size=9))
+    unsigned = data.draw(st.lists(st.booleans(), min_size=len(picked), max_size=len(picked)))
+
+    def value(kind, meta, width):
+        if width:
+            return data.draw(st.binary(min_size=width, max_size=width))
+        if kind == 246:
+            p, s = meta >> 8, meta & 255
+            digits = "".join(data.draw(st.lists(st.sampled_from("0123456789"), min_size=p, max_size=p)))
+            return pack_decimal(data.draw(st.sampled_from(["", "-"])) + (digits[: p - s] or "0") + ("." + digits[p - s :] if s else ""), p, s)
+        if kind == 18:
+            return data.draw(st.binary(min_size=5, max_size=5)) + b"\1\2" * (meta > 0)
+        raw = data.draw(st.one_of(st.text(max_size=20).map(str.encode), st.binary(max_size=20)))
+        return len(raw).to_bytes(1 if kind == 253 and meta < 256 else 2, "little") + raw
+
+    op, kind = data.draw(st.sampled_from([("insert", 30), ("update", 31), ("delete", 32)]))
+    images = [[None if data.draw(st.integers(0, 5)) == 0 else value(*k) for k in picked] for _ in range(2 * data.draw(st.integers(1, 3)))]
+    log = Log()
+    log.layouts[5] = len(picked)
+    log.rows(kind, 5, images, T0)
+    body = log.data[log.data.index(b"\5\0\0\0\0\0\0\0\2\0", 100) :]
+    body = body[: data.draw(st.sampled_from([len(body)] * 4 + [len(body) - 1, len(body) // 2]))]
+    reader = cells.RowReader(wire.TableMap(5, "d", "t", bytes(k for k, _, _ in picked), tuple(m for _, m, _ in picked)), [("x", u) for u in unsigned])
+    before, after = cells.ImageColumn(), cells.ImageColumn()
+    try:
+        want = [(new if op == "delete" else old, None if op == "delete" else new) for old, new in reader.rows(body, op == "update", True)]
+    except wire.LogError as e:
+        with pytest.raises(type(e)):
+            reader.into(body, op, True, before, after)
+        assert before.mark() == after.mark() == (0, 0)
+        return
+    assert reader.into(body, op, True, before, after) == len(want)
+    assert list(zip(before.images(), after.images(), strict=True)) == want
+
+
+def test_transactions_are_numbered_over_stretches_and_files(spark, tmp_path):
+    want, trx = [], 0
+    for n in (1, 2):
+        log = Log(crc=n == 1)
+        for k in range(9):
+            log.begin(T0 + 10 * n)
+            trx += 1
+            if k % 3 == 0:
+                log.query("d", "CREATE TABLE x (a INT)", T0 + 10 * n)
+                trx += 1
+            log.map(1, "d", "t", [INT], T0 + 10 * n)
+            log.rows(30, 1, [[i4(100 * n + k)]], T0 + 10 * n)
+            want.append((str(100 * n + k), trx))
+            log.xid(T0 + 10 * n)
+        log.save(tmp_path / "logs", f"mysql-bin.{n:06d}")
+    o = {"binlog_dir": str(tmp_path / "logs"), "start_file": "mysql-bin.000001", "schema_file": schema_file(tmp_path, table("d", "t", [column("id")]))}
+    for split in (0, 1, 400, 1 << 20):
+        rows = modes.changes(spark, Options(**o, split_bytes=split)).orderBy("file_ord", "pos").collect()
+        assert [(r["after"][0]["txt"], r["trx_id"]) for r in rows] == want
+    late = modes.changes(spark, Options(**o, split_bytes=1, start_datetime=datetime.datetime.fromtimestamp(T0 + 20, datetime.UTC).strftime("%Y-%m-%d %H:%M:%S"))).orderBy("pos").collect()
+    assert [r["trx_id"] for r in late] == [t - want[8][1] for _, t in want[9:]]
+
+
 # ---- the source ----
 
 
@@ -492,7 +557,9 @@ def test_names_and_boundaries(tmp_path):
         log.xid(T0)
     log.save(tmp_path)
     with open(tmp_path / "mysql-bin.000001", "rb") as f:
-        cuts = boundaries(f, 300)
+        found = boundaries(f, 300)
+    cuts = found.cuts
+    assert sum(found.trx) == sum(found.run) == 20 and len(found.trx) == len(cuts) + 1
     size = 39 + 37 + 36 + 27
     assert len(cuts) > 3 and len({(c - cuts[0]) % (size - 0) for c in cuts}) <= 2
     assert list_logs(str(tmp_path), "mysql-bin.000001")[0][0] == "mysql-bin.000001"
