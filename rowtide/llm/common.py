@@ -48,11 +48,14 @@ class Scratch:
         df.write.format(fmt).options(**({"compression": "zstd"} | options)).save(path)
         return self.spark.read.format(fmt).schema(df.schema).load(path)
 
-    def drop(self, name: str) -> None:
-        """Only for tables that no DataFrame still to be run reads."""
+    def drop(self, *names: str) -> None:
+        """Only for tables that no DataFrame still to be run reads. Shuffle files of what wrote them go as well, as soon as the driver sees that they are garbage."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def utf8(text: Column) -> Column:

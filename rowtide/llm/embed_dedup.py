@@ -185,8 +185,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("label", "h1", "h2", F.lit(True).alias("ok"), (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     named = scratch.save(named, "named")
-    for name in ("classes", "placed", "cells", "links"):  # nothing reads them any more
-        scratch.drop(name)
+    scratch.drop("classes", "placed", "cells", "links")  # nothing reads them any more
     out = keys.where("ok").join(named, ["label", "h1", "h2", "ok"]).select("id", "n_links", "component_id")
     out = out.unionByName(keys.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

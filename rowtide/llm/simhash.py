@@ -17,8 +17,11 @@ SEED, RADIUS = 42, 4
 #: Fingerprints of one side of a comparison; larger nodes of the index are dealt out as pairs of chunks.
 CHUNK = 16_384
 FANOUT, PAIRS = 16, 1 << 16
-#: Shingles of many texts whose numbers are known to all tasks, at most; they stand last in the order of shingles.
-COMMON = 50_000
+#: Shingles of many texts whose numbers are known to all tasks, at most, and texts of the sample that they are counted in; they stand last in the order of shingles.
+COMMON, ORDERED_BY = 50_000, 20_000
+#: Sets of fewer shingles are compared whatever their fingerprints; others only if these differ in at most so many of 64, and of 128, bits. At a
+#: similarity of 0.8 a bit differs with a probability of 0.16 at most, so that a pair is over 28 or over 48 about once in 10**8.
+SMALL, APART = 32, (28, 48)
 
 
 def shingle_hashes(text: bytes, words: int, block: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -185,106 +188,141 @@ def views(radius: int, free: int = 2) -> list[int]:
     return [sum(c) for c in combinations(masks, free)]
 
 
-def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links among the ``cid`` of distinct fp that have the components of all pairs within the radius.
-
-    Each root of the index fixes one masked pattern, so a fingerprint goes to C(radius + 2, 2) roots, whatever the
-    size of the table; below its root it is searched in the :class:`GrayIndex`. A root over CHUNK fingerprints is dealt
-    out as pairs of its chunks. (One Gray order of all fingerprints can't be dealt out by ranges: with 2**k ranges about
-    k bits of a range are fixed, and at k = 8 a fingerprint is within 4 of them for 64 % of the ranges.)
-    """
-    masks = [m - (1 << 64) if m >> 63 else m for m in views(radius)]
-    rooted = classes.select("cid", "fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
-    columns = ["cid", "fp"]
-    rooted = rooted.select(*columns, F.xxhash64("view", F.col("fp").bitwiseAND(F.col("mask"))).alias("root"))
+def dealt(rooted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows with ``root`` and ``cid`` in tasks by (root, pair), sorted: a root over CHUNK rows is dealt out as pairs of its chunks."""
+    columns = rooted.columns
     large = rooted.groupBy("root").count().where(F.col("count") > CHUNK).select("root", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    large = scratch.save(large, "large-roots")
+    large = scratch.save(large, name)
     if large.isEmpty():
         rooted = rooted.withColumn("pair", F.lit(0))
     else:
         rooted = rooted.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")
         rooted = rooted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rooted = rooted.select(*columns, "root", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
+        rooted = rooted.select(*columns, (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
+    return rooted.repartition(partitions(scratch.spark), "root", "pair").sortWithinPartitions("root", "pair")
+
+
+def rooted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Whole (root, pair) groups of a task of :func:`dealt`, several at once: the number of each row's group, and the rows."""
+    for t in by_group(batches, ["root", "pair"]):
+        root, pair = t.column("root").to_numpy(), t.column("pair").to_numpy()
+        yield np.r_[0, np.cumsum((root[1:] != root[:-1]) | (pair[1:] != pair[:-1]))], t
+
+
+def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links among the ``cid`` of distinct fp that have the components of all pairs within the radius.
+
+    Each root of the index fixes one masked pattern, so a fingerprint goes to C(radius + 2, 2) roots, whatever the
+    size of the table; below its root it is searched in the :class:`GrayIndex`. (One Gray order of all fingerprints
+    can't be dealt out by ranges: with 2**k ranges about k bits of a range are fixed, and at k = 8 a fingerprint is
+    within 4 of them for 64 % of the ranges.)
+    """
+    masks = [m - (1 << 64) if m >> 63 else m for m in views(radius)]
+    rooted = classes.select("cid", "fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("view", "mask"))
+    rooted = rooted.select("cid", "fp", F.xxhash64("view", F.col("fp").bitwiseAND(F.col("mask"))).alias("root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["root", "pair"]):
-            root, pair, cid = (t.column(c).to_numpy() for c in ("root", "pair", "cid"))
-            change = np.r_[0, np.cumsum((root[1:] != root[:-1]) | (pair[1:] != pair[:-1]))]
-            a, b = spanning(change, t.column("fp").to_numpy().view(np.uint64), radius)
+        for group, t in rooted_groups(batches):
+            cid = t.column("cid").to_numpy()
+            a, b = spanning(group, t.column("fp").to_numpy().view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], ["a", "b"])
 
-    dealt = rooted.repartition(partitions(scratch.spark), "root", "pair").sortWithinPartitions("root", "pair")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt(rooted, scratch, "large-roots").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, mark, fp, s1, s2, shingles): a hash of the text, the fingerprint, 128 bits that name the set of shingles, and the set."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, fps = [], []
-            for body in b.column("body"):
-                ones, n, own = np.zeros(64, dtype=np.int64), 0, []
-                for h in shingle_hashes(body.as_py(), words):
-                    n += len(h)
-                    ones += bit_counts(h)
-                    own.append(h)
-                fps.append(majority(ones, n))
-                sets.append((np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)).tobytes())
-            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sets), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sets, pa.binary())], ["id", "mark", "fp", "s1", "s2", "shingles"])
 
-    rows = text_rows(docs, id_col, text_col)
-    return rows.withColumn("mark", F.xxhash64("body")).mapInArrow(run, "id long, mark long, fp long, s1 long, s2 long, shingles binary")
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most COMMON shingles of many texts and their numbers, as far as batches show them. It only orders shingles: any order gives the same links."""
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most COMMON shingles of several texts of a sample, and their numbers. They only order shingles: any order gives the same links."""
+    n = rows.count()
+    if n > ORDERED_BY:
+        rows = rows.where(F.rand(7) < ORDERED_BY / n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, n = np.unique(np.frombuffer(b"".join(b.column("shingles").to_pylist()), dtype=np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2]), pa.array(n[n > 2].astype(np.int64))], ["h", "n"])
+            sets = [shingle_set(x.as_py(), words) for x in b.column("body")]
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    rows = sets.select("shingles").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    found = np.array(sorted((r["h"], r["n"]) for r in rows), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
+    found = rows.select("body").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    pairs = np.array(sorted((r["h"], r["n"]) for r in found), dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
-def prefix_groups(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(members): the classes (n, cid) that have a shingle among the rarest of their set, where several have it.
+def shingle_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """A row a document: id, mark (a hash of the text), fp, 128 bits that name its set of shingles (s1, s2), a fingerprint of 128 bits of the set (x1, x2), the set's size, the rarest of the set (firsts), and the text.
 
     Sets of n and m shingles at or over the similarity share similarity * max(n, m) of them at least, so that, in any one
     order of all shingles, their first n - ceil(similarity * n) + 1 and m - ceil(similarity * m) + 1 share one.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))  # bounded by COMMON
+    rows = text_rows(docs, id_col, text_col)
+    sent = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # bounded by COMMON
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = sent.value
+        h, often = sent.value
         for b in batches:
-            sizes, firsts = [], []
-            for x in b.column("shingles").to_pylist():
-                own = np.frombuffer(x, dtype=np.int64)
-                sizes.append(len(own))
+            numbers, names, firsts = [], [], []
+            for body in b.column("body"):
+                ones, n, own = np.zeros(64, dtype=np.int64), 0, []
+                for x in shingle_hashes(body.as_py(), words):
+                    n += len(x)
+                    ones += bit_counts(x)
+                    own.append(x)
+                own = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+                numbers.append((majority(ones, n), majority(bit_counts(own), len(own)), majority(bit_counts(mixed(own)), len(own)), len(own)))
+                names.append(xxhash.xxh3_128_digest(own.tobytes()))
+                own = own.view(np.int64)
                 at = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
-                often = np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)
-                firsts.append(own[np.lexsort((own, often))[: len(own) - least_common(len(own), similarity) + 1 if len(own) else 0]])
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["cid", "n", "firsts"])
+                seen = np.where(h[at] == own, often[at], 0) if len(h) else np.zeros(len(own), np.int64)
+                firsts.append(own[np.lexsort((own, seen))[: len(own) - least_common(len(own), similarity) + 1 if len(own) else 0]])
+            fp, x1, x2, size = (np.array(c, dtype=np.uint64).view(np.int64) for c in zip(*numbers, strict=True)) if numbers else [np.zeros(0, np.int64)] * 4
+            s = np.frombuffer(b"".join(names), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("mark"), pa.array(fp), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(x1), pa.array(x2), pa.array(size), pa.array(firsts, pa.list_(pa.int64())), b.column("body")],
+                ["id", "mark", "fp", "s1", "s2", "x1", "x2", "n", "firsts", "body"],
+            )
 
-    rows = sets.select(F.col("row").alias("cid"), "shingles").mapInArrow(run, "cid long, n int, firsts array<long>")
-    rows = rows.join(classes.select("cid"), "cid", "left_semi").select("cid", "n", F.explode("firsts").alias("shingle"))
-    groups = rows.groupBy("shingle").agg(F.collect_list(F.struct("n", "cid")).alias("members"))
-    return groups.where(F.size("members") > 1).select(F.array_sort("members").alias("members")).distinct()
+    schema = "id long, mark long, fp long, s1 long, s2 long, x1 long, x2 long, n long, firsts array<long>, body binary"
+    return rows.withColumn("mark", F.xxhash64("body")).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def least_common(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def among(rows: DataFrame, key: str, asked: DataFrame, limit: int = 4_000_000) -> DataFrame:
+    """Rows whose key is one of ``asked`` (distinct keys): where the rows are if there are few of these, else by an exchange."""
+    few = asked.count() <= limit
+    return rows.join(F.broadcast(asked) if few else asked, key, "left_semi")
+
+
+def close(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and fingerprints of their sets allow to be similar."""
+    of = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("x1").alias(f"p{c}"), F.col("x2").alias(f"q{c}"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    apart = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) + F.bit_count(F.col("qa").bitwiseXOR(F.col("qb")))
+    return rows.where((F.least("na", "nb") < SMALL) | (apart <= APART[1])).select("a", "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least the given one, counted shingle by shingle."""
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingle_set(x.as_py(), words).tobytes() for x in b.column("body")], pa.binary())], ["cid", "shingles"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -294,60 +332,66 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), f"{name}-asked")
+    few = among(rows.select(F.col("row").alias("cid"), "body"), "cid", asked).mapInArrow(sets, "cid long, shingles binary")
+    few = scratch.save(few, f"{name}-sets")
+    both = pairs.join(few.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(few.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
+    scratch.drop(f"{name}-asked", f"{name}-sets")
+    return out
+
 
+def open_pairs(members: DataFrame, shared: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs that share a rare shingle, that no chain of links in ``found`` connects yet, and that sizes and fingerprints allow to be similar.
 
-def open_pairs(groups: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs within the groups that no chain of links in ``found`` connects yet and whose sizes allow the similarity."""
-    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("m")).select("g", "m.n", "m.cid")
-    rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    rows = rows.groupBy("g").agg(F.collect_list(F.struct("n", "cid", "component")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.where("low != high").select(F.col("m.n").alias("n"), F.col("m.cid").alias("cid"), F.col("m.component").alias("component"))
+    The fingerprints of the sets are searched in the :class:`GrayIndex` below roots that are the shingles; of shingles
+    that the same sets have, one is a root.
+    """
+    roots = shared.groupBy("members", "count").agg(F.min("shingle").alias("shingle")).select("shingle")
+    rows = members.join(roots, "shingle").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    rows = scratch.save(rows.select("shingle", "cid", F.coalesce("component", "cid").alias("component")), "open-rows")
+    apart = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    rows = rows.join(apart, "shingle").join(classes.select("cid", "n", "x1", "x2"), "cid")
+    kinds = F.when(F.col("n") < SMALL, F.array(F.lit(0))).when(F.col("n") * similarity > SMALL, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("shingle", "kind")).drop("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, cid, component in zip(*(batch.column(c) for c in ("n", "cid", "component")), strict=True):
-                n, cid, component = (np.array(x.values) for x in (n, cid, component))
-                by = np.argsort(n, kind="stable")
-                n, cid, component = n[by], cid[by], component[by]
-                upto = np.searchsorted(n, n / similarity + 1e-6, "right")
-                a, b, held = [], [], 0
-                for i in range(len(n)):
-                    other = cid[i + 1 : upto[i]][component[i + 1 : upto[i]] != component[i]]
-                    a.append(np.minimum(cid[i], other))
-                    b.append(np.maximum(cid[i], other))
-                    held += len(other)
-                    if held >= PAIRS or i == len(n) - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                        a, b, held = [], [], 0
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def close_prints(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """(a, b): classes whose fingerprints the index links, or that have the same fingerprint."""
-    prints = scratch.save(classes.groupBy("fp").agg(F.min("cid").alias("cid")), "prints")
-    same = classes.select("fp", "cid").join(prints.select("fp", F.col("cid").alias("a")), "fp").where("a != cid").select("a", F.col("cid").alias("b"))
-    return same.unionByName(hamming_links(prints, radius, scratch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-
-def similar_links(sets: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+        for group, t in rooted_groups(batches):
+            cid, component, n, kind = (t.column(c).to_numpy() for c in ("cid", "component", "n", "kind"))
+            x1, x2 = (t.column(c).to_numpy().view(np.uint64) for c in ("x1", "x2"))
+            for k, radius in enumerate((64, APART[0])):
+                own = np.flatnonzero(kind == k)
+                if not len(own):
+                    continue
+                for i, j in GrayIndex(group[own], x1[own]).pairs(radius):
+                    i, j = own[i], own[j]
+                    keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                    if k:
+                        keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
+                    a, b = cid[i[keep]], cid[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt(rows, scratch, "open-roots").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): links among the ``cid`` of distinct sets that have the components of all pairs at or over the similarity.
 
-    Compared first are those whose fingerprints are close and, of each group that shares a rare shingle, all members with
-    the least; then only what those links leave apart is. At a similarity of 0.8 fingerprints are about 10 of 64 bits
-    apart, where no index over them can leave pairs out, so they alone can't find all links.
+    Sets that share a rare shingle are compared with the least of them first; then, among what those links leave apart,
+    whatever the index over the sets' fingerprints finds close is.
     """
-    groups = scratch.save(prefix_groups(sets, classes, similarity), "groups")
-    first = groups.select(F.col("members")[0]["cid"].alias("a"), F.col("members")[0]["n"].alias("n"), F.explode(F.slice("members", 2, 2**31 - 1)).alias("m"))
-    first = first.where(F.col("n") >= similarity * F.col("m.n") - 1e-6).select(F.least("a", "m.cid").alias("a"), F.greatest("a", "m.cid").alias("b"))
-    first = scratch.save(first.unionByName(close_prints(classes, radius, scratch)).distinct(), "first")
-    asked = groups.select(F.explode("members.cid").alias("row")).unionByName(first.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
-    few = scratch.save(sets.join(asked, "row", "left_semi").select(F.col("row").alias("cid"), "shingles"), "asked-sets")
-    near = scratch.save(verified(first, few, similarity), "near-first")
+    members = rows.select(F.col("row").alias("cid"), "firsts").join(classes.select("cid"), "cid", "left_semi").select("cid", F.explode("firsts").alias("shingle"))
+    members = scratch.save(members, "members")
+    shared = members.groupBy("shingle").agg(F.min("cid").alias("least"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("count > 1")
+    shared = scratch.save(shared, "shared")
+    kept = scratch.save(members.join(shared.select("shingle"), "shingle", "left_semi"), "shared-members")
+    scratch.drop("members")
+    first = kept.join(shared.select("shingle", "least"), "shingle").where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
+    first = scratch.save(close(first, classes, similarity), "first")
+    near = verified(first, rows, words, similarity, scratch, "near-first")
     found = components(near, scratch, "cc-first")
-    rest = scratch.save(verified(open_pairs(groups, found, similarity), few, similarity), "near-rest")
+    rest = scratch.save(open_pairs(kept, shared, found, classes, similarity, scratch), "rest")
+    rest = verified(rest, rows, words, similarity, scratch, "near-rest")
     return near.unionByName(rest)
 
 
@@ -369,10 +413,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = scratch.save(hamming_links(classes, radius, scratch), "links")
     else:
         key = ["s1", "s2"]
-        fps = scratch.save(shingle_sets(docs, id_col, text_col, words).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+        fps = scratch.save(shingle_rows(docs, id_col, text_col, words, similarity), "shingles")
         first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
-        classes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("least"), F.min("row").alias("cid"), F.first("fp").alias("fp"), first), "classes")
-        links = similar_links(fps.select("row", "shingles"), classes, similarity, scratch, radius)
+        classes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("least"), F.min("row").alias("cid"), F.min("n").alias("n"), F.min("x1").alias("x1"), F.min("x2").alias("x2"), first), "classes")
+        links = similar_links(fps, classes, words, similarity, scratch)
+        fps = scratch.save(fps.select("id", "mark", "fp", "s1", "s2", "row"), "fingerprints")
+        scratch.drop("shingles")
     found = components(links, scratch)
     grouped = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     if similarity is None:
@@ -382,7 +428,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"))
         more = ["mark", (F.col("row") == F.col("kept_row")).alias("kept")]
     named = scratch.save(grouped.join(least, "component").select(*key, *least.columns[1:]), "named")
-    for name in ("classes", "links", "large-roots", "prints", "groups", "first", "asked-sets", "near-first", "near-rest"):  # nothing reads them any more
-        scratch.drop(name)
-    rows = fps.drop("shingles").join(named, key)
+    scratch.drop("classes", "links", "large-roots", "shared", "shared-members", "first", "near-first", "near-rest", "open-rows", "open-roots", "rest")  # nothing reads them any more
+    rows = fps.join(named, key)
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)

@@ -136,8 +136,28 @@ def test_similar_links_are_exact(spark):
     assert sum(0.8 <= s < 0.9 for s in alike.values()) > 10 and sum(0.7 <= s < 0.8 for s in alike.values()) > 10
     want = union([p for p, s in alike.items() if s >= 0.8], range(len(texts)))
     rows = list(enumerate(texts))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, order in ((simhash.CHUNK, simhash.ORDERED_BY), (5, 40)):  # roots in pairs of chunks and a poor order of shingles give the same
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "CHUNK", chunk)
+            m.setattr(simhash, "ORDERED_BY", order)
+            got = simhash.near_duplicates(frame, words=5, similarity=0.8).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert {r["component_id"] for r in got if r["kept"]} == set(want.values()) and sum(r["kept"] for r in got) == len(set(want.values()))
+
+
+def test_similar_links_within_a_root_of_many(spark):
+    """Texts of which a passage is most: all share their shingles, few are similar, and no chain from the least joins them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    passage, texts = [word() for _ in range(40)], []
+    for _ in range(60):
+        own = [word() for _ in range(rng.choice([2, 14, 20, 26]))]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [word()])]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    want = union([(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(texts)))
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 10
 
 
 def test_n_grams_of_long_texts_come_in_lots(monkeypatch):
