@@ -15,7 +15,7 @@ from pathlib import Path
 
 
 #: The orders log is copied under following names until about so much is there.
-LOG_MIB = 8
+LOG_MIB = 128
 
 
 def main() -> None:
@@ -44,14 +44,15 @@ def main() -> None:
         took[name] = round(time.time() - began, 3)
 
     folder = Path(home)
-    catalog = orders_log(spark, sf, folder / "logs")
+    (folder / "logs").mkdir()
+    catalog = orders_log(spark, sf, str(folder / "logs"))
     (folder / "schema.json").write_text(json.dumps(catalog))
     one = folder / "logs" / "mysql-bin.000001"
-    copies = max(1, min(64, round(LOG_MIB * 2**20 / one.stat().st_size)))
+    copies = max(1, min(256, round(LOG_MIB * 2**20 / one.stat().st_size)))
     for k in range(2, copies + 1):
         shutil.copy(one, folder / "logs" / f"mysql-bin.{k:06d}")
     size = copies * one.stat().st_size / 2**20
-    o = Options(binlog_dir=str(folder / "logs"), start_file="mysql-bin.000001", stop_file=f"mysql-bin.{copies:06d}", schema_file=str(folder / "schema.json"), split_bytes=2 << 20)
+    o = Options(binlog_dir=str(folder / "logs"), start_file="mysql-bin.000001", stop_file=f"mysql-bin.{copies:06d}", schema_file=str(folder / "schema.json"), split_bytes=4 << 20)
     feed = with_names(orders_feed(spark, sf))
     timed("warm_up", render.statements(feed, render.Style()))
     took.pop("warm_up")
@@ -72,7 +73,7 @@ def main() -> None:
                 took[name] = round(time.time() - began, 3)
     except ImportError:
         pass
-    rates = {"log_mib": round(size, 3), "decode_mib_s": round(size / took["log_decode"], 2), "to_sql_mib_s": round(size / took["log_to_sql"], 2)}
+    rates = {"log_mib": round(size, 3), "decode_mib_s": round(size / took["log_decode"], 2), "to_sql_mib_s": round(size / took["log_to_sql"], 2), "decode_mib_s_core": round(size / took["log_decode"] / int(cpus), 2), "to_sql_mib_s_core": round(size / took["log_to_sql"] / int(cpus), 2)}
     print(json.dumps({"metric": "total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf).removeprefix("sf"), "rates": rates}))
     spark.stop()
     shutil.rmtree(home, ignore_errors=True)

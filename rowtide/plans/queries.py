@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +13,7 @@ from ..functions import text as X
 from ..operators import filters, maps, render, stats, trx
 from ..options import Options
 from ..sources import catalog
+from ..sources.files import put, shared_folder
 from ..sources.writer import INT, Log, datetime2, decimal, i4, s1, varchar
 from ..streaming.jobs import commit_watermark
 from . import modes
@@ -361,12 +360,6 @@ def x23_report_line(spark: SparkSession, sf: str) -> DataFrame:
     return stats.report_lines(stats.window_counts(stats_feed(spark, sf), 30)).select("ord", "line")
 
 
-@query("SELECT n_regionkey AS k, max(n_nationkey) AS last, arg_max(n_name, n_nationkey) AS name FROM nation GROUP BY n_regionkey")
-def s18_catalog_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    n = read(spark, sf, "nation")
-    return n.groupBy(F.col("n_regionkey").alias("k")).agg(F.max("n_nationkey").alias("last"), F.max_by("n_name", "n_nationkey").alias("name"))
-
-
 @query("SELECT event_id, event_id % 5 = 1 AS skipped FROM events WHERE event_id % 5 IN (0, 1, 2, 3, 4)")
 def e5_ddl_excluded(spark: SparkSession, sf: str) -> DataFrame:
     sql = F.when(F.col("event_id") % 5 == 0, "BEGIN").when(F.col("event_id") % 5 == 1, "drop table t;").when(F.col("event_id") % 5 == 2, " Commit ").when(F.col("event_id") % 5 == 3, "").otherwise("rollback;")
@@ -393,19 +386,24 @@ def roundtrip_undo(spark: SparkSession, sf: str) -> DataFrame:
 # ---- a log on disk ----
 
 
-def orders_log(spark: SparkSession, sf: str, folder: Path, crc: bool = True) -> dict:
-    """Writes the orders table as a log of inserts, 50 rows an event, and gives its schema."""
-    log = Log(crc=crc)
+def orders_log(spark: SparkSession, sf: str, folder: str, crc: bool = True) -> dict:
+    """Writes the orders table as logs of inserts, 50 rows an event and 400,000 keys a file, and gives its schema. A task writes a file."""
     columns = [(8, b""), varchar(20), (246, bytes([15, 2])), (18, b"\0"), INT]
-    rows = read(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus", "cast(cast(o_totalprice as decimal(15,2)) as string) p", "o_orderdate", "o_custkey").orderBy("o_orderkey").collect()
-    for i in range(0, len(rows), 50):
-        ts = 1_700_000_000 + i
-        log.begin(ts)
-        log.map(7, "shop", "orders", columns, ts)
-        images = [[r[0].to_bytes(8, "little", signed=True), s1(r[1]), decimal(r[2], 15, 2), datetime2(r[3].year, r[3].month, r[3].day, r[3].hour, r[3].minute, r[3].second), i4(r[4])] for r in rows[i : i + 50]]
-        log.rows(30, 7, images, ts)
-        log.xid(ts)
-    log.save(folder)
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey k", "o_orderstatus s", "cast(cast(o_totalprice as decimal(15,2)) as string) p", "date_format(o_orderdate, 'yyyyMMddHHmmss') d", "o_custkey c", "cast(o_orderkey div 400000 as int) + 1 file")
+
+    def write(key: tuple, pdf):  # noqa: ANN001, ANN202
+        log, every = Log(crc=crc), list(pdf.sort_values("k").itertuples(index=False))
+        for i in range(0, len(every), 50):
+            ts = 1_700_000_000 + i
+            log.begin(ts)
+            log.map(7, "shop", "orders", columns, ts)
+            moment = lambda d: datetime2(int(d[:4]), *(int(d[x : x + 2]) for x in range(4, 14, 2)))
+            log.rows(30, 7, [[int(r.k).to_bytes(8, "little", signed=True), s1(r.s), decimal(r.p, 15, 2), moment(r.d), i4(int(r.c))] for r in every[i : i + 50]], ts)
+            log.xid(ts)
+        put(f"{folder}/mysql-bin.{int(key[0]):06d}", bytes(log.data))
+        return pdf.head(1)[["k"]]
+
+    rows.groupBy("file").applyInPandas(write, "k long").count()
     names = [("o_orderkey", "bigint"), ("o_orderstatus", "varchar"), ("o_totalprice", "decimal"), ("o_orderdate", "datetime"), ("o_custkey", "int")]
     return {"version": 1, "tables": [{"db": "shop", "table": "orders", "cols": [{"name": n, "type_name": t, "unsigned": False} for n, t in names], "pk": ["o_orderkey"], "uks": []}]}
 
@@ -413,15 +411,14 @@ def orders_log(spark: SparkSession, sf: str, folder: Path, crc: bool = True) ->
 def log_options(spark: SparkSession, sf: str, **more: object) -> Options:
     import json
 
-    folder = Path(tempfile.mkdtemp(prefix="rowtide-log-"))
-    schema = orders_log(spark, sf, folder / "logs")
-    (folder / "schema.json").write_text(json.dumps(schema))
-    return Options(binlog_dir=str(folder / "logs"), start_file="mysql-bin.000001", schema_file=str(folder / "schema.json"), **more)
+    folder = shared_folder(spark, "orders-log")
+    put(f"{folder}/schema.json", json.dumps(orders_log(spark, sf, folder)).encode())
+    return Options(binlog_dir=folder, start_file="mysql-bin.000001", schema_file=f"{folder}/schema.json", **more)
 
 
 @query("SELECT o_orderkey AS k, o_orderstatus AS s, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS price, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, o_custkey AS c FROM orders")
 def s1_log_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written as a log, read back and decoded (a log on this machine: for local sessions)."""
+    """Orders written as logs, read back and decoded."""
     rows = modes.changes(spark, log_options(spark, sf, split_bytes=100_000))
     at = lambda i: F.get("after", i)["txt"]
     return rows.select(at(0).cast("long").alias("k"), at(1).alias("s"), at(2).alias("price"), at(3).alias("at"), at(4).cast("long").alias("c"))
@@ -431,3 +428,6 @@ def s1_log_decode(spark: SparkSession, sf: str) -> DataFrame:
 def to_sql_of_log(spark: SparkSession, sf: str) -> DataFrame:
     out = modes.rendered(spark, log_options(spark, sf, split_bytes=100_000))
     return out.select(F.regexp_extract("sql", r"VALUES \((\d+),", 1).cast("long").alias("k"), "trx_id", "sql")
+
+
+from . import log_queries  # noqa: E402, F401 (adds its queries)

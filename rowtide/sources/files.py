@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import BinaryIO
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 from .events import name_key
 
@@ -32,3 +35,25 @@ def next_name(name: str) -> str | None:
     """The number behind the last point plus one, six digits at least."""
     base, number = name_key(name)
     return f"{base}.{number + 1:06d}" if number >= 0 else None
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names; below a temporary one only in local mode, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rowtide-"))
+    folder = f"{root.rstrip('/')}/rowtide/{name}-{uuid.uuid4().hex}"
+    fs, p = system(folder)
+    fs.create_dir(p, recursive=True)
+    return folder.removeprefix("file://")
+
+
+def put(path: str, data: bytes) -> None:
+    fs, p = system(path)
+    with fs.open_output_stream(p) as f:
+        f.write(data)
