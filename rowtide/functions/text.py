@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 TICK = "`"
 #: Characters of a literal and what stands for them, besides the backslash.
 ESCAPES = (("\0", "\\0"), ("'", "\\'"), ('"', '\\"'), ("\b", "\\b"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\x1a", "\\Z"))
+SPECIAL = "[\\\\\u0000'\"\b\t\n\r\u001a]"
 
 
 def lit_replace(c: Column, old: str, new: str) -> Column:
@@ -19,13 +20,18 @@ def ident(name: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A string literal; a backslash isn't doubled before % or _."""
+    """A string literal; a backslash isn't doubled before % or _. Most texts have nothing to escape, which one look tells."""
+    special = F.rlike(text, F.lit(SPECIAL))
+    return F.concat(F.lit("'"), F.when(special, escaped(text)).otherwise(text), F.lit("'"))
+
+
+def escaped(text: Column) -> Column:
     out = lit_replace(text, "\\", "\\\\")
     for wild in "%_":
         out = lit_replace(out, "\\\\" + wild, "\\" + wild)
     for old, new in ESCAPES:
         out = lit_replace(out, old, new)
-    return F.concat(F.lit("'"), out, F.lit("'"))
+    return out
 
 
 def hex_literal(raw: Column) -> Column:
@@ -37,13 +43,14 @@ def literal(cell: Column) -> Column:
     tag, txt = cell["tag"], cell["txt"]
     text = F.when(F.is_valid_utf8(txt), quoted(txt)).otherwise(hex_literal(txt.cast("binary")))
     return (
-        F.when(tag == "null", "NULL").when(tag.isin("str", "json"), text).when(tag == "bytes", hex_literal(cell["bin"]))
-        .when(tag.isin("int", "uint", "double", "decimal"), txt)
+        F.when(tag.isin("int", "decimal", "uint", "double"), txt).when(tag.isin("str", "json"), text)
+        .when(tag == "null", "NULL").when(tag == "bytes", hex_literal(cell["bin"]))
     )
 
 
 def condition(name: Column, cell: Column) -> Column:
-    return F.when(cell["tag"] == "null", F.concat(ident(name), F.lit(" IS NULL"))).otherwise(F.concat(ident(name), F.lit("="), literal(cell)))
+    """``name`` as it stands in a statement."""
+    return F.when(cell["tag"] == "null", F.concat(name, F.lit(" IS NULL"))).otherwise(F.concat(name, F.lit("="), literal(cell)))
 
 
 def moment(ts: Column, offset_seconds: int = 0) -> Column:

@@ -5,7 +5,7 @@ Input: op, db, tb, n_log, before, after (arrays of cells) and the table's names,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +23,18 @@ class Style:
     db_prefix: bool = True
     strict: bool = False
     insert_batch: int = 1
+    #: The table's rows carry what :func:`prepare` adds.
+    prepared: bool = False
+
+
+def prepare(catalog: DataFrame, style: Style) -> DataFrame:
+    """Adds to each table what every statement of it repeats: its quoted names, and the head of an INSERT of all of its columns."""
+    whole = catalog.withColumn("idents", F.transform("names", ident)).withColumn("n_log", F.size("names"))
+    return whole.withColumn("head", insert_head(replace(style, prepared=False))).drop("n_log")
+
+
+def ident_at(i: Column, style: Style) -> Column:
+    return F.get("idents", i) if style.prepared else ident(F.get("names", i))
 
 
 def width() -> Column:
@@ -46,7 +58,7 @@ def target(style: Style) -> Column:
 
 
 def where_clause(image: Column, style: Style) -> Column:
-    return F.array_join(F.transform(key_ordinals(style), lambda i: condition(F.get("names", i), F.get(image, i))), " AND ")
+    return F.array_join(F.transform(key_ordinals(style), lambda i: condition(ident_at(i, style), F.get(image, i))), " AND ")
 
 
 def insert_ordinals(style: Style) -> Column:
@@ -55,8 +67,9 @@ def insert_ordinals(style: Style) -> Column:
 
 
 def insert_head(style: Style) -> Column:
-    names = F.array_join(F.transform(insert_ordinals(style), lambda i: ident(F.get("names", i))), ",")
-    return F.concat(F.lit("INSERT INTO "), target(style), F.lit(" ("), names, F.lit(") VALUES "))
+    names = F.array_join(F.transform(insert_ordinals(style), lambda i: ident_at(i, style)), ",")
+    head = F.concat(F.lit("INSERT INTO "), target(style), F.lit(" ("), names, F.lit(") VALUES "))
+    return F.when(F.col("n_log") >= F.size("names"), F.col("head")).otherwise(head) if style.prepared else head
 
 
 def insert_tuple(image: Column, style: Style) -> Column:
@@ -69,11 +82,11 @@ def set_ordinals(style: Style) -> Column:
 
 
 def set_clause(image: Column, style: Style) -> Column:
-    return F.array_join(F.transform(set_ordinals(style), lambda i: F.concat(ident(F.get("names", i)), F.lit("="), literal(F.get(image, i)))), ",")
+    return F.array_join(F.transform(set_ordinals(style), lambda i: F.concat(ident_at(i, style), F.lit("="), literal(F.get(image, i)))), ",")
 
 
 def lacks(image: Column, ordinals: Column) -> Column:
-    return F.exists(ordinals, lambda i: F.get(image, i)["tag"] == "missing")
+    return F.array_contains(image["tag"], "missing") & F.exists(ordinals, lambda i: F.get(image, i)["tag"] == "missing")
 
 
 def dml(style: Style) -> tuple[Column, Column, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +34,18 @@ def tables(o: Options) -> list[dict]:
     return tables_of(read_catalog(o.schema_file))
 
 
-def changes(spark: SparkSession, o: Options) -> DataFrame:
+def changes(spark: SparkSession, o: Options, prepared: render.Style | None = None) -> DataFrame:
     """Every row change of the window, with its transaction and its table's schema; undecodable events carry an error."""
     known = tables(o)
     found = read(spark, o, "changes").where("kind in ('rows', 'error')")
-    return with_schema(found, frame_of(spark, known), len(known))
+    catalog = frame_of(spark, known)
+    return with_schema(found, render.prepare(catalog, prepared) if prepared else catalog, len(known))
 
 
 def rendered(spark: SparkSession, o: Options) -> DataFrame:
     """Statements of the window, one row a change: sql, file, info, trx_id, error and the order (file_ord, pos, row_no)."""
-    out = render.batched_inserts(changes(spark, o), style(o))
+    how = replace(style(o), prepared=True)
+    out = render.batched_inserts(changes(spark, o, how), how)
     prefix = "flashback" if o.undo else "to_sql"
     out = out.withColumn("row_no", F.coalesce("row_no", F.lit(0))).withColumn("file", out_file(prefix, o.file_per_table)).withColumn("info", extra_info(o.offset))
     return out.select("file_ord", "pos", "row_no", "binlog", "start_pos", "end_pos", "ts", "op", "db", "tb", "trx_id", "file", "info", "sql", "error")

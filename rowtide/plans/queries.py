@@ -334,7 +334,7 @@ def tagged() -> Column:
 
 X4 = f"CASE doc_id % 4 WHEN 0 THEN 'NULL' WHEN 1 THEN CAST(n_chars AS VARCHAR) WHEN 2 THEN {q_sql('text')} ELSE '0x' || hex(source) END"
 text_query("x4_encode", f"SELECT doc_id, {X4} AS sql FROM documents", "documents", lambda d: d.select("doc_id", X.literal(tagged()).alias("sql")))
-text_query("x5_null_predicate", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '`c` IS NULL' ELSE '`c`=' || {X4} END AS sql FROM documents", "documents", lambda d: d.select("doc_id", X.condition(F.lit("c"), tagged()).alias("sql")))
+text_query("x5_null_predicate", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '`c` IS NULL' ELSE '`c`=' || {X4} END AS sql FROM documents", "documents", lambda d: d.select("doc_id", X.condition(X.ident(F.lit("c")), tagged()).alias("sql")))
 text_query("x7_datetime", "SELECT event_id, strftime(make_timestamp((1600000000 + event_id * 86413 + 19800) * 1000000), '%Y-%m-%d_%H:%M:%S') AS at FROM events", "events", lambda d: d.select("event_id", X.moment(F.lit(1_600_000_000).cast("long") + F.col("event_id") * 86413, 19800).alias("at")))
 TYPES = "CASE p_partkey % 5 WHEN 0 THEN ' BIGINT(20) UNSIGNED ' WHEN 1 THEN 'Varchar(' || p_size || ')' WHEN 2 THEN 'double unsigned zerofill' WHEN 3 THEN 'TEXT' ELSE 'int signed' END"
 text_query("x17_norm_type", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'bigint' WHEN 1 THEN 'varchar' WHEN 2 THEN 'double' WHEN 3 THEN 'text' ELSE 'int' END AS type FROM part", "part", lambda d: d.selectExpr("p_partkey", f"{TYPES} AS raw").select("p_partkey", catalog.norm_type_column(F.col("raw")).alias("type")))
