@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -72,21 +73,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(df: DataFrame, key: str) -> DataFrame:
-    """Rows with ``bucket``: ascending ranges of ``key`` (null last) with about as many rows each, one a shuffle partition.
+def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows with ``bucket``: ascending ranges of ``key`` (null last) with about as many rows each, one a shuffle partition; and ``tie``, their order within a key.
 
-    The cuts are quantiles of the key column alone; :func:`deal` then moves the rows once.
+    The cuts are quantiles of the key column alone; :func:`deal` then moves the rows once. A key that holds several
+    cuts, and null if it holds as many rows, is split into ranges of a hash of the text, which is ``tie`` for its rows (else 0).
     """
     n = partitions(df.sparkSession)
-    cuts = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(bucket_of(F.col(key), cuts))
-    return df.withColumn("bucket", bucket.cast("int"))
+    found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q"), F.count("*").alias("n"), F.count(key).alias("known")).first()
+    cuts = sorted(found["q"] or [])
+    shares = {k: m for k, m in Counter(cuts).items() if m > 1}
+    lost = found["n"] - found["known"]
+    parts = max(1, -(-lost * n // max(1, found["n"])))
+    hashed = F.xxhash64(text)
+
+    def part(m: int) -> Column:
+        """Which of m equal ranges the hash is in."""
+        return F.least(F.floor((hashed / F.lit(2.0**64) + 0.5) * m), F.lit(m - 1))
+
+    known = bucket_of(F.col(key), cuts)
+    for k, m in shares.items():
+        known = known - F.when(F.col(key) == k, F.lit(m - 1) - part(m)).otherwise(0)
+    bucket = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1) + part(parts)).otherwise(known)
+    return df.withColumn("bucket", bucket.cast("int")).withColumn("tie", F.when(F.col(key).isNull() | F.col(key).isin(list(shares)), hashed).otherwise(F.lit(0).cast("long")) if shares else F.when(F.col(key).isNull(), hashed).otherwise(F.lit(0).cast("long")))
 
 
 def deal(df: DataFrame, *then: str | Column) -> DataFrame:
-    """Each bucket of :func:`ordered` to the task of its number, sorted by bucket and the given columns."""
-    return df.repartitionById(partitions(df.sparkSession) + 2, F.col("bucket")).sortWithinPartitions("bucket", *then)
+    """Each bucket of :func:`ordered` to a task, sorted by bucket and the given columns; a task has several where keys or null hold many."""
+    n = partitions(df.sparkSession) + 2
+    return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket", *then)
 
 
 def bucket_of(key: Column, cuts: list[int]) -> Column:

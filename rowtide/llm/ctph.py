@@ -112,26 +112,22 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document's, in ascending id; rows with the same id follow each other by their text, null ids come last, and the
-    first row follows the last. Null text is the empty text. Rows are dealt into ranges of ids in one exchange; the first
-    row of each range goes to the range before too, as a guest that is only looked at.
+    document's, in ascending id; rows with the same id follow each other by a hash of their text (if they are many, or
+    have no id) and by their text, null ids come last, and the first row follows the last. Null text is the empty text.
+    Rows are dealt into ranges of ids in one exchange; the first row of each range goes to the range before too, as a
+    guest that is only looked at.
     """
     import hashlib
 
-    rows = ordered(text_rows(docs, id_col, text_col), "id")
-    # of each range the least id, or a null one: a row a range, bounded by the number of partitions
-    heads = sorted((r["bucket"], r["least"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("least")).collect())
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    first_ids = [b for _, b in heads if b is not None]
-    is_first = F.col("id").isin(first_ids) | F.col("id").isNull() if any(b is None for _, b in heads) else F.col("id").isin(first_ids)
-    to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else F.create_map(F.lit(0), F.lit(0))
-    guest = F.struct(to[F.col("bucket")].alias("bucket"), F.lit(1).alias("guest"))
-    own = F.struct("bucket", F.lit(0).alias("guest"))
-    if any(b is None for _, b in heads):  # one guest of the rows without an id: the least text
-        least = rows.where("id is null").agg(F.min("body").alias("b")).first()["b"]
-        is_first = F.col("id").isin(first_ids) | (F.col("id").isNull() & (F.col("body") == F.lit(bytes(least))))
-    rows = rows.select("id", "body", F.explode(F.when(F.coalesce(is_first, F.lit(False)), F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    rows = deal(rows.select("id", "body", "to.bucket", "to.guest"), "guest", "id", "body")
+    rows = ordered(text_rows(docs, id_col, text_col), "id", "body")
+    place = F.struct(F.col("id").isNull().alias("lost"), "id", "tie")
+    # of each range the first place: a row a range, bounded by the number of partitions
+    heads = sorted((r["bucket"], r["at"]["id"], r["at"]["tie"]) for r in rows.groupBy("bucket").agg(F.min(place).alias("at")).collect())
+    firsts = rows.sparkSession.createDataFrame([(b, k, t, heads[n - 1][0]) for n, (b, k, t) in enumerate(heads)], "own int, key long, t long, to int")
+    same = (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("key")) & (F.col("tie") == F.col("t"))
+    guests = rows.join(F.broadcast(firsts), same).groupBy("to", "id", "tie").agg(F.min("body").alias("body")).select("id", "body", "tie", F.col("to").alias("bucket"), F.lit(1).alias("guest"))
+    rows = rows.select("id", "body", "tie", "bucket", F.lit(0).alias("guest")).unionByName(guests)
+    rows = deal(rows, "guest", "id", "tie", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (bucket, id, body, fingerprint)
@@ -141,7 +137,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = []
             for bucket, guest, key, body in zip(*(b.column(c).to_pylist() for c in ("bucket", "guest", "id", "body")), strict=True):
                 if guest and (held is None or held[0] != bucket):
-                    continue  # the guest is looked at; more rows of its id aren't
+                    continue  # of a range without rows
                 own = fingerprint(body)
                 if held is not None and held[0] == bucket:
                     text, after = held[2].decode("utf-8", "replace"), body.decode("utf-8", "replace")

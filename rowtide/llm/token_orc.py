@@ -31,9 +31,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
 
     Files hold ascending ranges of the document id (null ids last) and are sorted by it; ``bucket_start`` counts the ids
     before a document within its range, so that writing needs no pass in order. Texts cross one exchange. Rows with the
-    same id keep one order: by their text. An empty table gives files without rows.
+    same id keep one order: by a hash of their text if they are many or have no id, then by their text. An empty table gives files without rows.
     """
-    rows = deal(ordered(text_rows(docs, id_col, text_col), "id"), "id", "body")
+    rows = deal(ordered(text_rows(docs, id_col, text_col), "id", "body"), "id", "tie", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bucket, at = piece_encoder(vocabulary), None, 0

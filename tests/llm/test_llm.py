@@ -438,6 +438,29 @@ def test_piecewise_hash(docs, hard, none):
     assert ctph.compare_with_edits(none).count() == 0
 
 
+def test_repeated_ids_are_dealt_out(spark, monkeypatch):
+    """A third of the rows under one id, and a third without one: their ranges are split, and results are as in one order."""
+    rng = random.Random(9)
+    rows = [(i, f"text {i} {rng.random()}") for i in range(60)] + [(17, f"same id {i}") for i in range(60)] + [(None, f"no id {i}") for i in range(58)] + [(None, "no id 7")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    from rowtide.llm import common
+
+    monkeypatch.setattr(common, "partitions", lambda spark: 9)
+    dealt = common.deal(common.ordered(common.text_rows(frame, "doc_id", "text"), "id", "body"), "id", "tie", "body")
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert max(sizes) < 45 and sum(sizes) == len(rows)
+    order = sorted(((r["bucket"], r["id"] is None, r["id"] or 0, r["tie"], bytes(r["body"]).decode()) for r in dealt.collect()))
+    assert [x[1:3] for x in order] == sorted(x[1:3] for x in order)  # ranges follow each other
+    texts = [x[4] for x in order]
+    got = {(r["doc_id"], r["edited_sha256"]) for r in ctph.compare_with_edits(frame).collect()}
+    cut = lambda t, after: (t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()
+    assert got == {(None if x[1] else x[2], hashlib.sha256(cut(t, after)).hexdigest()) for x, t, after in zip(order, texts, [*texts[1:], texts[0]], strict=True)}
+    tokens = sorted(((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_orc.round_trip(frame, VOCABULARY).collect()))
+    ids = [[*library_ids(t), 0] for t in texts]
+    starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    assert tokens == [(s, len(x), crc(x)) for s, x in zip(starts, ids, strict=True)]
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
