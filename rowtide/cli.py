@@ -58,9 +58,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("rowtide").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if o.work == "repl":
+            from .sources.files import shared_folder
             from .streaming.jobs import start
 
-            start(spark, o, o.resume_file or f"{o.output_dir}/.checkpoint").awaitTermination()
+            start(spark, o, f"{o.output_dir}/.checkpoint" if o.output_dir else shared_folder(spark, "repl"), resume_file=o.resume_file).awaitTermination()
         else:
             from .plans.modes import run_sql, run_stats
 

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.render import undo_order
+from ..streaming.recovery import Checkpoint, read_checkpoint, write_checkpoint
 
+#: The first line of SQL files, and of the two reports.
 HEADER = "SET NAMES utf8mb4;"
 STATUS_HEADER = "{:<17} {:<19} {:<19} {:<10} {:<10} {:<8} {:<8} {:<8} {:<15} {:<20}".format("binlog", "starttime", "stoptime", "startpos", "stoppos", "inserts", "updates", "deletes", "database", "table")
 BIG_LONG_HEADER = "{:<17} {:<19} {:<19} {:<10} {:<10} {:<8} {:<10} {}".format("binlog", "starttime", "stoptime", "startpos", "stoppos", "rows", "duration", "tables")
@@ -85,17 +87,79 @@ def write_sql(statements: DataFrame, folder: str | None, undo: bool = False, inf
     return n
 
 
+class Appender:
+    """SQL files that batches are appended to, to the byte as :func:`write_sql` would write all of them at once.
+
+    A batch is whole when its checkpoint is written, which names the files and their lengths, after they are forced to
+    disk. What a batch that wasn't whole has left is cut off before it is written again.
+    """
+
+    def __init__(self, folder: str, checkpoint: str, info: bool = False):
+        self.folder, self.checkpoint, self.info = folder, checkpoint, info
+
+    def last(self) -> Checkpoint | None:
+        return read_checkpoint(self.checkpoint, self.folder)[0] if os.path.exists(self.checkpoint) else None
+
+    def append(self, statements: DataFrame, number: int) -> None:
+        done = self.last() or Checkpoint("-", 4, "")
+        if number <= done.batch:
+            return
+        os.makedirs(self.folder, exist_ok=True)
+        sizes = dict(zip(done.written_files, done.sizes, strict=False))
+        for name, size in sizes.items():
+            os.truncate(os.path.join(self.folder, name), size)
+        out: TextIO | None = None
+        at = (done.file, done.pos, done.ts)
+        rows = statements.select("file", "file_ord", "pos", "row_no", "trx_id", "info", "sql", "binlog", "end_pos", "ts").orderBy("file_ord", "pos", "row_no").toLocalIterator()
+        opened: dict[str, TextIO] = {}
+        event = None
+        try:
+            for r in rows:
+                name = r["file"]
+                out = opened.get(name)
+                if out is None:
+                    out = opened[name] = open(os.path.join(self.folder, name), "a" if name in sizes else "w", encoding="utf-8", newline="")  # noqa: SIM115
+                    if name not in sizes:
+                        print(HEADER, file=out)
+                if self.info and (r["file_ord"], r["pos"]) != event:
+                    print(r["info"], file=out)
+                event = (r["file_ord"], r["pos"])
+                print(r["sql"], file=out)
+                at = (r["binlog"], r["end_pos"], str(r["ts"]))
+            for name, f in opened.items():
+                f.flush()
+                os.fsync(f.fileno())
+                sizes[name] = f.tell()
+        finally:
+            for f in opened.values():
+                f.close()
+        write_checkpoint(Checkpoint(*at, tuple(sizes), number, tuple(sizes.values())), self.checkpoint)
+
+
 def write_parts(statements: DataFrame, path: str, undo: bool = False, info: bool = False, keep_trx: bool = True, mode: str = "errorifexists") -> None:
-    """Text files under ``path``/file=..., written by the executors in parallel: each part file holds an ordered stretch, parts in name order."""
-    order = [F.desc(c) if undo else F.asc(c) for c in ("file_ord", "pos", "row_no")]
+    """Text files under ``path``/file=..., written by the executors in parallel: each part file holds an ordered stretch.
+
+    The parts of a file one after another, in name order, are the text of :func:`write_sql`: each line hangs on its row and
+    the one before it alone, and those of the two ends of a file are added to its first and last row.
+    """
+    key = ("file_ord", "pos", "row_no")
+    order = [F.desc(c) if undo else F.asc(c) for c in key]
+    ends = statements.groupBy("file").agg(*(f(F.struct(*key)).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))))
     rows = undo_order(statements, "file") if undo else statements.withColumn("new_trx", F.lit(False))
+    # of an event, the row that comes first (in an undo the last row of the log)
+    of_event = statements.groupBy("file", "file_ord", "pos").agg((F.max if undo else F.min)("row_no").alias("info_row")) if info else None
+    rows = rows.join(ends, "file")
+    if of_event is not None:
+        rows = rows.join(of_event, ["file", "file_ord", "pos"])
+    here, first, last = F.struct(*key), F.col("most" if undo else "least"), F.col("least" if undo else "most")
     parts = F.array(
+        F.when(here == first, F.lit(HEADER)),
         F.when(F.col("new_trx") & F.lit(undo and keep_trx), F.lit("commit;\nbegin;")),
-        F.when(F.lit(info), F.col("info")), F.col("sql"),
+        F.when(F.col("row_no") == F.col("info_row"), F.col("info")) if info else F.lit(None).cast("string"), F.col("sql"),
+        F.when((here == last) & F.lit(undo and keep_trx), F.lit("commit;")),
     )
-    line = F.array_join(parts, "\n")
-    rows = rows.repartitionByRange("file", *order).sortWithinPartitions("file", *order)
-    rows.select("file", line.alias("value")).write.mode(mode).partitionBy("file").text(path)
+    rows = rows.withColumn("value", F.array_join(parts, "\n")).repartitionByRange("file", *order).sortWithinPartitions("file", *order)
+    rows.select("file", "value").write.mode(mode).partitionBy("file").text(path)
 
 
 def write_reports(lines: DataFrame, big: DataFrame, folder: str, skipped: int, as_json: bool) -> None:

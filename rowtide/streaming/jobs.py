@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import threading
+import time
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,8 @@ from ..plans.modes import style, tables
 from ..sources import sinks
 from ..sources.binlog import register
 from ..sources.catalog import frame_of
+from ..sources.files import list_logs
+from .relay import Transport, follow, where_to_start
 
 
 def live(spark: SparkSession, o: Options, view: str = "changes", **more: str) -> DataFrame:
@@ -27,28 +33,76 @@ def live(spark: SparkSession, o: Options, view: str = "changes", **more: str) ->
 def live_statements(spark: SparkSession, o: Options, **more: str) -> DataFrame:
     known = tables(o)
     out = render.statements(with_schema(live(spark, o, **more).where("kind = 'rows'"), frame_of(spark, known), len(known)), style(o))
+    out = out.withColumn("row_no", F.coalesce("row_no", F.lit(0)))
     return out.withColumnRenamed("trx", "trx_id").withColumn("file", out_file("to_sql", o.file_per_table)).withColumn("info", extra_info(o.offset))
 
 
-def start(spark: SparkSession, o: Options, checkpoint: str, available_now: bool = False, **more: str) -> StreamingQuery:
-    """Appends each micro-batch to the SQL files of its logs; a batch that is run again replaces what it wrote.
+def start(spark: SparkSession, o: Options, checkpoint: str, available_now: bool = False, resume_file: str | None = None, **more: str) -> StreamingQuery:
+    """Appends each micro-batch to the SQL files of its logs, which are to the byte what one run over the whole log writes.
 
-    Each batch goes to a folder of its own number, so output is exactly once as long as batches are whole, which
-    they are: offsets lie between transactions. ``StreamingQuery.stop`` ends it between batches.
+    Offsets lie between transactions, so no batch splits one. ``resume_file`` (by default beside Spark's checkpoint) is the
+    checkpoint of the output: the last whole batch, its place in the log, the files and their lengths. A batch that is run
+    again first cuts off what it had written. ``StreamingQuery.stop`` ends it between batches.
     """
-    folder = o.output_dir
+    appender = sinks.Appender(o.output_dir, resume_file or f"{checkpoint.rstrip('/')}-output.json", o.add_extra_info) if o.output_dir else None
+    if appender:
+        os.makedirs(os.path.dirname(appender.checkpoint) or ".", exist_ok=True)
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.where("sql is not null")
-        if folder is None:
+        if appender is None:
             sinks.write_sql(rows, None, info=o.add_extra_info)
         else:
-            sinks.write_parts(rows, f"{folder}/batch={number:09d}", info=o.add_extra_info, mode="overwrite")
+            appender.append(rows, number)
 
     writer = live_statements(spark, o, **more).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def replicate(spark: SparkSession, o: Options, transport: Transport, folder: str, available_now: bool = False, **more: str) -> str:
+    """Follows a server: its frames become relay logs under ``folder``, and the SQL files follow these. How the server's stream ended.
+
+    With a resume file the server is asked from the place of the output's checkpoint on, unless the relay logs already reach
+    beyond it; then from their end on. Without one: from a time, a place, or now (see :func:`relay.where_to_start`).
+    """
+    logs, known = f"{folder}/relay", f"{folder}/checkpoint"
+    os.makedirs(logs, exist_ok=True)
+    resume_file = o.resume_file or f"{folder}/output.json"
+    resume = sinks.Appender(o.output_dir, resume_file).last() if o.output_dir else None
+    first = where_to_start(transport, resume, o) if not list_logs(logs, None) else ("", 4)
+    own = replace(o, binlog_dir=logs, resume_file=None)
+    run = lambda now: start(spark, own, known, now, resume_file, **more)
+    if available_now:
+        how = follow(transport, logs, first)
+        run(True).awaitTermination()
+        return how
+    query, ended = None, []
+
+    def relay() -> None:
+        try:
+            ended.append(follow(transport, logs, first, stop=lambda: bool(ended)))
+        except Exception as e:  # noqa: BLE001 (told to the caller below)
+            ended.append(e)
+
+    thread = threading.Thread(target=relay, daemon=True)
+    thread.start()
+    try:
+        while not ended and not list_logs(logs, None):
+            time.sleep(0.05)
+        query = run(False)
+        while not ended and query.isActive:
+            thread.join(0.2)
+        if query.isActive:
+            query.processAllAvailable()
+    finally:
+        ended.append("stopped")
+        if query is not None:
+            query.stop()
+    if isinstance(ended[0], Exception):
+        raise ended[0]
+    return ended[0]
+
+
 class Windows(StatefulProcessor):
     """Reporting windows of each binlog over an endless feed: a window's rows are emitted when an event closes it.
 

@@ -18,6 +18,9 @@ class Checkpoint:
     pos: int
     ts: str
     written_files: tuple[str, ...] = field(default=())
+    #: The last whole batch, and how long each file was behind it.
+    batch: int = -1
+    sizes: tuple[int, ...] = field(default=())
 
 
 class CheckpointError(ValueError):
@@ -43,7 +46,7 @@ def read_checkpoint(path: str, folder: str) -> tuple[Checkpoint, list[str]]:
     try:
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
-        cp = Checkpoint(raw["file"], int(raw["pos"]), raw["ts"], tuple(raw["written_files"]))
+        cp = Checkpoint(raw["file"], int(raw["pos"]), raw["ts"], tuple(raw["written_files"]), int(raw.get("batch", -1)), tuple(raw.get("sizes", ())))
     except (KeyError, TypeError, json.JSONDecodeError) as e:
         raise CheckpointError(f"{path} is no checkpoint: {e}") from None
     for name in (cp.file, *cp.written_files):

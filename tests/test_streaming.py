@@ -1,18 +1,20 @@
 """The log as a stream, pushed frames, and recovery."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowtide.options import Options
 from rowtide.plans import modes
-from rowtide.sources import wire
+from rowtide.sources import sinks, wire
 from rowtide.sources.events import read_log
 from rowtide.sources.writer import INT, Log, column, i4, table
 from rowtide.streaming import recovery as r
 from rowtide.streaming.frames import decode_frames
-from rowtide.streaming.jobs import live_windows, start
+from rowtide.streaming.jobs import live_windows, replicate, start
+from rowtide.streaming.relay import FolderTransport, Relay, TransportError, follow, where_to_start
 
 T0 = 1_700_000_000
 
@@ -34,8 +36,9 @@ def options(tmp_path, **more):
 
 
 def written(spark, tmp_path):
-    rows = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
-    return sorted(int(x["value"].split("(")[-1].rstrip(");")) for x in rows)
+    lines = [x for f in sorted((tmp_path / "out").glob("*.sql")) for x in f.read_text().splitlines()]
+    assert lines.count("SET NAMES utf8mb4;") == len(list((tmp_path / "out").glob("*.sql")))
+    return sorted(int(x.split("(")[-1].rstrip(");")) for x in lines if x.startswith("INSERT"))
 
 
 @pytest.mark.parametrize("crc", [False, True])
@@ -54,6 +57,110 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path, crc):
     assert [int(x.split("(")[-1].rstrip(");")) for x in batch] == list(range(8))
 
 
+def test_killed_streams_give_the_same_bytes(spark, tmp_path):
+    """Batches of a few events; behind some of them the output has bytes of a batch that was never whole."""
+    o = options(tmp_path, add_extra_info=True)
+    run = lambda: start(spark, o, str(tmp_path / "check"), available_now=True, maxBytesPerTrigger="150").awaitTermination(120)
+    for n in (2, 5, 9):
+        log_of(n, crc=True).save(tmp_path / "logs")
+        run()
+        with (tmp_path / "out" / "to_sql.1.sql").open("a") as f:
+            f.write("INSERT INTO half of a ba")
+        state = json.loads((tmp_path / "check-output.json").read_text())
+        assert state["written_files"] == ["to_sql.1.sql"] and state["file"] == "mysql-bin.000001"
+    log_of(3, first=9).save(tmp_path / "logs", "mysql-bin.000002")
+    run()
+    whole = options(tmp_path, add_extra_info=True)
+    modes.run_sql(spark, replace(whole, output_dir=str(tmp_path / "once")))
+    for name in ("to_sql.1.sql", "to_sql.2.sql"):
+        text = (tmp_path / "out" / name).read_text()
+        assert text == (tmp_path / "once" / name).read_text() and text.count("INSERT") == (9 if "1" in name else 3)
+    state = json.loads((tmp_path / "check-output.json").read_text())
+    appender = sinks.Appender(str(tmp_path / "out"), str(tmp_path / "check-output.json"))
+    appender.append(spark.createDataFrame([], "file string, file_ord int, pos long, row_no int, trx_id long, info string, sql string, binlog string, end_pos long, ts long"), state["batch"])
+    assert json.loads((tmp_path / "check-output.json").read_text()) == state  # a batch that is whole isn't written again
+
+
+@pytest.mark.parametrize("undo", [False, True])
+def test_parts_are_the_text_of_the_file(spark, tmp_path, undo):
+    log_of(7, crc=True).save(tmp_path / "logs")
+    log_of(4, first=20).save(tmp_path / "logs", "mysql-bin.000002")
+    o = options(tmp_path, add_extra_info=True, **({"work": "flashback"} if undo else {}))
+    modes.run_sql(spark, o)
+    sinks.write_parts(modes.rendered(spark, o).where("sql is not null"), str(tmp_path / "parts"), undo=undo, info=True)
+    for f in (tmp_path / "out").glob("*.sql"):
+        parts = sorted((tmp_path / "parts" / f"file={f.name}").glob("part-*.txt"))
+        assert "".join(p.read_text() for p in parts) == f.read_text()
+
+
+class Flaky(FolderTransport):
+    """Fails after so many frames each time, and sends heartbeats between."""
+
+    def __init__(self, folder, lives):
+        super().__init__(folder)
+        self.lives, self.asked = list(lives), []
+
+    def frames(self, name, pos):
+        self.asked.append((name, pos))
+        left = self.lives.pop(0) if self.lives else None
+        for frame in super().frames(name, pos):
+            if left == 0:
+                raise TransportError("connection reset by peer")
+            left = None if left is None else left - 1
+            yield frame
+            yield wire.HEADER.pack(T0, wire.HEARTBEAT, 1, wire.HEADER_SIZE + 1, 0, 0) + b"x"
+
+
+def test_a_server_is_followed(spark, tmp_path):
+    log_of(6, crc=True).save(tmp_path / "server")
+    log_of(3, first=6).save(tmp_path / "server", "mysql-bin.000002")
+    base = options(tmp_path)
+    o = replace(base, work="repl", server_id=7, add_extra_info=True, start_file="mysql-bin.000001", stop_file=None)
+    waits = []
+    transport = Flaky(str(tmp_path / "server"), [9, 0, 12, 5])
+    logs = str(tmp_path / "relay")
+    assert follow(transport, logs, ("mysql-bin.000001", 4), sleep=waits.append) == "ended"
+    for name in ("mysql-bin.000001", "mysql-bin.000002"):
+        assert (tmp_path / "relay" / name).read_bytes() == (tmp_path / "server" / name).read_bytes()
+    assert len(transport.asked) == 5 and len(waits) == 4 and all(w > 0 for w in waits)
+    assert replicate(spark, o, FolderTransport(str(tmp_path / "server")), str(tmp_path / "state"), available_now=True) == "ended"
+    assert written(spark, tmp_path) == list(range(9))
+    log_of(9, crc=True).save(tmp_path / "server")  # more than before: the relay goes on behind its last event
+    (tmp_path / "server" / "mysql-bin.000002").unlink()
+    (tmp_path / "state" / "relay" / "mysql-bin.000002").unlink()
+    assert Relay(str(tmp_path / "state" / "relay")).last()[0] == "mysql-bin.000001"
+    # terminal failures and failures in a row end it
+    class Purged(FolderTransport):
+        def frames(self, name, pos):
+            raise TransportError("Could not find first log file name in binary log index file", 1236)
+
+    with pytest.raises(TransportError, match="purged"):
+        follow(Purged(str(tmp_path / "server")), logs, ("mysql-bin.000001", 4), sleep=waits.append)
+    with pytest.raises(TransportError, match="disconnect"):
+        follow(Flaky(str(tmp_path / "server"), [0] * 9), str(tmp_path / "none"), ("mysql-bin.000001", 4), sleep=waits.append)
+
+
+def test_a_live_server_is_followed_until_it_ends(spark, tmp_path):
+    log_of(5).save(tmp_path / "server")
+    o = replace(options(tmp_path), work="repl", server_id=7, start_file="mysql-bin.000001", stop_file=None)
+    assert replicate(spark, o, FolderTransport(str(tmp_path / "server")), str(tmp_path / "state")) == "ended"
+    assert written(spark, tmp_path) == list(range(5))
+
+
+def test_where_a_server_is_asked_first(tmp_path):
+    for n in (1, 2, 3):
+        log_of(3, first=100 * n).save(tmp_path / "server", f"mysql-bin.{n:06d}")
+    t = FolderTransport(str(tmp_path / "server"))
+    base = Options(work="repl", binlog_dir="x", schema_file="s", server_id=1, output_dir="o")
+    from datetime import UTC, datetime
+
+    at = lambda k: replace(base, start_datetime=datetime.fromtimestamp(T0 + k, UTC).strftime("%Y-%m-%d %H:%M:%S"))
+    assert where_to_start(t, None, at(250)) == ("mysql-bin.000002", 4) and where_to_start(t, None, at(5)) == ("mysql-bin.000001", 4)
+    assert where_to_start(t, None, base) == t.end() == ("mysql-bin.000003", (tmp_path / "server" / "mysql-bin.000003").stat().st_size)
+    assert where_to_start(t, None, replace(base, start_file="mysql-bin.000002", start_pos=124)) == ("mysql-bin.000002", 124)
+    assert where_to_start(t, r.Checkpoint("mysql-bin.000001", 99, ""), at(250)) == ("mysql-bin.000001", 99)
+
+
 def test_windows_in_state(spark, tmp_path):
     rows = [(i, "b.1", "row" if i % 3 else "tick", T0 + i, 10 * i, 10 * i + 10, "d", f"t{i % 2}", ("insert", "update", "delete")[i % 3], 1) for i in range(20)]
     schema = "seq long, binlog string, kind string, ts long, start_pos long, end_pos long, db string, tb string, op string, rows long"
