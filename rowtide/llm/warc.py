@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import ARROW_BATCH_BYTES, Scratch, utf8
 
 #: Equal payloads of fewer bytes are repeated rather than revisited.
 LEAST_BYTES = 100
@@ -95,6 +99,54 @@ def export(spark: SparkSession, path: str, to: str) -> None:
     records.select(F.expr("substring(value, 1, length(value) - 4)").alias("value")).write.option("lineSep", CRLF + CRLF).text(to)
 
 
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of a WARC file; a block is as long as its header says."""
+    at = 0
+    while at < len(data):
+        stop = data.find(b"\r\n\r\n", at)
+        version, *lines = data[at:stop].decode("utf-8", "replace").split(CRLF) if stop >= 0 else [""]
+        if not version.startswith("WARC/1."):
+            raise ValueError(f"no WARC record begins at {at}")
+        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = int(fields["content-length"])
+        block = data[stop + 4 : stop + 4 + size]
+        if len(block) < size or data[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
+            raise ValueError(f"the WARC record at {at} is cut off")
+        yield fields, block
+        at = stop + 8 + size
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, record_type, url, payload, payload_digest, refers_to) of the WARC files under ``path``, a task reading whole files (under 2 GB, as :func:`export` writes them).
+
+    The payload of a response stands behind its HTTP header and must have its digest; a revisit has none (null).
+    """
+    names = ["page_id", "record_type", "url", "payload", "payload_digest", "refers_to"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda x: int(x) if x else None
+        for b in batches:
+            for content in b.column("content"):
+                rows: list[tuple] = []
+                held = 0
+                for fields, block in parsed(content.as_py()):
+                    digest = fields["warc-payload-digest"].removeprefix("sha256:")
+                    payload = block[block.index(b"\r\n\r\n") + 4 :] if fields["warc-type"] == "response" else None
+                    if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"a payload lacks its digest {digest}")
+                    rows.append((number(fields["warc-page-id"]), fields["warc-type"], fields["warc-target-uri"], payload, digest, number(fields.get("warc-refers-to-page"))))
+                    held += len(block)
+                    if held >= ARROW_BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("content").mapInArrow(run, "page_id long, record_type string, url string, payload binary, payload_digest string, refers_to long")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives the pages and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     scratch = Scratch(pages.sparkSession, "warc")

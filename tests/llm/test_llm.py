@@ -417,6 +417,15 @@ def test_warc(spark):
     warc.export(spark, scratch.path("w"), scratch.path("files"))
     whole = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(scratch.path("files")).collect())
     assert sorted(whole) == sorted(b"".join(bytes(r["bytes"]) for r in warc.reconstruct(spark, scratch.path("w")).collect()))
+    files = warc.read_warc(spark, scratch.path("files")).collect()
+    read = {(r["page_id"], r["record_type"], r["payload_digest"], r["refers_to"]) for r in files}
+    assert len(files) == len(rows) and read == {(i, kind, digest, to) for i, _, digest, kind, to in got}
+    assert {r["url"] for r in files if r["page_id"] == 7} == {"bad%0D%0AWARC-Type: revisit"}
+    assert all((hashlib.sha256(bytes(r["payload"])).hexdigest() == r["payload_digest"]) if r["record_type"] == "response" else r["payload"] is None for r in files)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(whole[:-5]))
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.parsed(whole + b"x\r\n\r\n"))
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
