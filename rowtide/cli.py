@@ -8,7 +8,7 @@ import sys
 
 from .options import OptionError, Options
 
-COMMON = "binlog_dir start_file start_pos stop_file stop_pos start_datetime stop_datetime db table ignore_db ignore_table dml uri schema_file output_dir time_zone threads split_bytes strict_parity"
+COMMON = "binlog_dir start_file start_pos stop_file stop_pos start_datetime stop_datetime db table ignore_db ignore_table dml uri schema_file output_dir time_zone threads split_bytes max_event_bytes strict_parity"
 SQL = "file_per_table add_extra_info no_db_prefix full_columns unique_key_first ignore_primary_key_for_insert strict_schema insert_batch"
 #: Options of each mode.
 MODES = {

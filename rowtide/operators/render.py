@@ -147,3 +147,12 @@ def undo_order(rendered: DataFrame, part: str, seq: tuple[str, ...] = ("file_ord
     """Undone in reverse within each ``part`` (an output file), with ``new_trx`` where another transaction begins."""
     w = W.partitionBy(part).orderBy(*(F.col(c).desc() for c in seq))
     return rendered.withColumn("new_trx", F.lag("trx_id", 1, 0).over(w) != F.col("trx_id"))
+
+
+def block_index(rendered: DataFrame, header: str, info: bool = False) -> DataFrame:
+    """(file, file_ord, pos, trx_id, offset, length): the bytes that each event's statements take in its SQL file, one file a log."""
+    text = F.octet_length("sql") + 1
+    blocks = rendered.where("sql is not null").groupBy("file", "file_ord", "pos", "trx_id").agg((F.sum(text) + (F.max(F.octet_length("info") + 1) if info else F.lit(0))).cast("long").alias("length"))
+    w = W.partitionBy("file").orderBy("file_ord", "pos").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("length").over(w), F.lit(0)) + F.lit(len(header.encode()) + 1)
+    return blocks.select("file", "file_ord", "pos", "trx_id", before.cast("long").alias("offset"), "length")

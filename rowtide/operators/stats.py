@@ -87,8 +87,22 @@ def details(feed: DataFrame, hits: DataFrame) -> DataFrame:
     """(seq, table, inserts, updates, deletes): what each hit's run had changed by then, by ``db.tb``."""
     rows = runs(feed).where("kind = 'row'").select("run", F.col("seq").alias("at"), F.concat_ws(".", "db", "tb").alias("table"), "op", "rows")
     count = lambda op: F.sum(F.when(F.col("op") == op, F.col("rows")).otherwise(0)).cast("long").alias(op + "s")
-    # a run's rows are summed up to each of its hits: first between hits, then along them
-    return rows.join(hits.select("run", "seq"), "run").where("at < seq").groupBy("seq", "table").agg(count("insert"), count("update"), count("delete"))
+    # a row belongs to the next hit of its run: it is summed once, and the sums between hits are added up along them
+    after = W.partitionBy("run").orderBy(F.desc("place"), F.desc("hit")).rowsBetween(W.unboundedPreceding, 0)
+    marks = hits.select("run", F.col("seq").alias("place"), F.lit(1).alias("hit"), F.col("seq").alias("mark"))
+    both = rows.withColumnRenamed("at", "place").withColumn("hit", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("seq", F.last("mark", ignorenulls=True).over(after)).where("hit = 0 and seq is not null")
+    between = both.groupBy("run", "seq", "table").agg(count("insert"), count("update"), count("delete"))
+    # tables of a run appear from their first hit on: a row for each of its hits from there, by the hits' own small windows
+    upto = W.partitionBy("run", "table").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    n_hits = hits.groupBy("run").agg(F.array_sort(F.collect_list("seq")).alias("all")).where(F.size("all") > 1)
+    single = between.join(n_hits.select("run"), "run", "left_anti")
+    many = between.join(n_hits, "run")
+    filled = many.groupBy("run", "table", "all").agg(F.min("seq").alias("first")).select("run", "table", F.explode(F.filter("all", lambda s: s >= F.col("first"))).alias("seq"))
+    filled = filled.join(many.drop("all"), ["run", "table", "seq"], "left")
+    total = lambda op: F.sum(F.coalesce(F.col(op + "s"), F.lit(0))).over(upto).cast("long").alias(op + "s")
+    filled = filled.select("seq", "table", total("insert"), total("update"), total("delete"))
+    return single.select("seq", "table", "inserts", "updates", "deletes").unionByName(filled)
 
 
 def report_lines(counts: DataFrame, offset: int = 0) -> DataFrame:

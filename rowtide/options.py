@@ -80,6 +80,7 @@ class Options:
     resume_file: str | None = None
     heartbeat_secs: int = 30
     split_bytes: int = 32 << 20
+    max_event_bytes: int = 4 << 20  # a larger event is taken as damage
     strict_parity: bool = False
     offset: int = field(init=False, default=0)
     start_ts: int | None = field(init=False, default=None)
@@ -109,6 +110,7 @@ class Options:
         need(bool(self.uri or self.schema_file), "uri or schema_file is required")
         need(set(self.dml) <= set(DML), f"dml is among {', '.join(DML)}")
         need(self.threads >= 0, "threads is 1 at least")
+        need(self.max_event_bytes >= 19, "max_event_bytes is 19 at least")
         need(self.insert_batch >= 1, "insert_batch is 1 at least")
         need(4 <= self.start_pos <= U32, "start_pos is 4 at least")
         need(self.stop_pos is None or 4 <= self.stop_pos <= U32, "stop_pos is 4 at least")
@@ -135,7 +137,7 @@ class Options:
     def reader(self) -> dict[str, str]:
         """Options of the binlog source; bounds and lists are applied as it reads."""
         out = {"path": self.binlog_dir, "mode": "FAILFAST" if self.on_error == "stop" else "PERMISSIVE", "strictParity": str(self.strict_parity).lower()}
-        for key, value in (("startFile", self.start_file), ("startPos", self.start_pos), ("stopFile", self.stop_file), ("stopPos", self.stop_pos), ("startTs", self.start_ts), ("stopTs", self.stop_ts), ("schemaFile", self.schema_file), ("db", ",".join(self.db)), ("table", ",".join(self.table)), ("ignoreDb", ",".join(self.ignore_db)), ("ignoreTable", ",".join(self.ignore_table)), ("dml", ",".join(self.dml))):
+        for key, value in (("startFile", self.start_file), ("startPos", self.start_pos), ("stopFile", self.stop_file), ("stopPos", self.stop_pos), ("startTs", self.start_ts), ("stopTs", self.stop_ts), ("schemaFile", self.schema_file), ("db", ",".join(self.db)), ("table", ",".join(self.table)), ("ignoreDb", ",".join(self.ignore_db)), ("ignoreTable", ",".join(self.ignore_table)), ("dml", ",".join(self.dml)), ("maxEventBytes", self.max_event_bytes)):
             if value not in (None, ""):
                 out[key] = str(value)
         return out

@@ -13,11 +13,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import render
 from ..options import Options
 from ..sources import catalog as catalogs
 from ..sources import writer as B
 from ..sources.binlog import register
 from ..sources.files import put, shared_folder, system
+from ..sources.sinks import HEADER
 from . import modes
 from .queries import query, read
 
@@ -269,6 +271,16 @@ def k1_file_of_log(spark: SparkSession, sf: str) -> DataFrame:
     return lines_of(spark, options(folder, schema_file, dml=("delete",), output_dir=f"{folder}/out"), "to_sql")
 
 
+@query(
+    f"WITH r AS (SELECT {K} AS k, {K} // 500 + 1 AS f, CAST(length('DELETE FROM `shop`.`zoo` WHERE `k`=' || {K} || ';') + 1 AS BIGINT) AS length FROM part WHERE {K} % 3 = 2) SELECT 'to_sql.' || f || '.sql' AS file, CAST(k // 10 + 1 AS BIGINT) AS trx_id, CAST(19 + coalesce(sum(length) OVER (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", length FROM r"
+)
+def k6_block_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each event's statements lie in the SQL files."""
+    folder, schema_file = changed(spark, sf)
+    rows = modes.rendered(spark, options(folder, schema_file, dml=("delete",)))
+    return render.block_index(rows, HEADER).select("file", "trx_id", "offset", "length")
+
+
 def lines_of(spark: SparkSession, o: Options, prefix: str) -> DataFrame:
     """The lines of all files of one kind that a run writes, in their order."""
     modes.run_sql(spark, o)

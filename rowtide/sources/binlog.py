@@ -2,7 +2,7 @@
 
 Options: path (folder), startFile, startPos, stopFile, stopPos, startTs, stopTs (seconds), db, table, ignoreDb,
 ignoreTable, dml (comma-separated), schemaFile (catalog JSON), view (events, changes or facts), splitBytes (0: a
-partition a file), strictParity (only the latest table map counts), mode (PERMISSIVE or FAILFAST).
+partition a file), maxEventBytes (a larger event is taken as damage, which ends its file with an error; 4 MiB), strictParity (only the latest table map counts), mode (PERMISSIVE or FAILFAST).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from .catalog import columns_of, read_catalog
+from . import wire
 from .cells import ImageColumn
 from .events import Bounds, Event, Images, boundaries, name_key, read_log
 from .files import list_logs, open_log
@@ -53,7 +54,7 @@ def bounds_of(o: dict) -> Bounds:
     start = (start_file, int(o.get("startpos", 4))) if start_file else None
     stop = (stop_file or start_file or "", int(stop_pos or 2**32 - 1)) if stop_file or stop_pos else None
     whole = {k: int(o[k.lower()]) for k in ("startTs", "stopTs") if o.get(k.lower()) is not None}
-    return Bounds(start, stop, whole.get("startTs"), whole.get("stopTs"), listed(o.get("db")), listed(o.get("table")), listed(o.get("ignoredb")), listed(o.get("ignoretable")), listed(o.get("dml")))
+    return Bounds(start, stop, whole.get("startTs"), whole.get("stopTs"), listed(o.get("db")), listed(o.get("table")), listed(o.get("ignoredb")), listed(o.get("ignoretable")), listed(o.get("dml")), int(o.get("maxeventbytes") or wire.MAX_EVENT))
 
 
 class Batches:

@@ -28,6 +28,7 @@ class Bounds:
     ignore_db: tuple[str, ...] = ()
     ignore_table: tuple[str, ...] = ()
     dml: tuple[str, ...] = ()
+    max_event: int = wire.MAX_EVENT
 
     def stopped(self, name: str, end: int, ts: int) -> bool:
         return bool(self.stop and (name_key(name), end) >= (name_key(self.stop[0]), self.stop[1])) or (self.stop_ts is not None and ts >= self.stop_ts)
@@ -75,7 +76,7 @@ def keyword(sql: str) -> str:
     return sql.strip().rstrip(";").strip().lower()
 
 
-def frames(f: BinaryIO, start: int, end: int | None) -> Iterator[tuple[int, wire.Header, Callable[[], bytes]]]:
+def frames(f: BinaryIO, start: int, end: int | None, max_event: int = wire.MAX_EVENT) -> Iterator[tuple[int, wire.Header, Callable[[], bytes]]]:
     """(place, header, body reader) from ``start`` up to ``end``; a body that isn't read is skipped."""
     f.seek(start)
     at = start
@@ -85,7 +86,7 @@ def frames(f: BinaryIO, start: int, end: int | None) -> Iterator[tuple[int, wire
             return
         if len(raw) < wire.HEADER_SIZE:
             raise TooShort("the file ends within an event header")
-        h = wire.parse_header(raw)
+        h = wire.parse_header(raw, max_event)
         got: list[bytes] = []
 
         def body(h: wire.Header = h, raw: bytes = raw, got: list[bytes] = got) -> bytes:
@@ -191,7 +192,7 @@ def read_log(f: BinaryIO, name: str, file_ord: int, bounds: Bounds, start: int =
                 if h.type == wire.FORMAT:
                     decoder.crc = wire.parse_format(body())
                 break
-        for at, h, body in frames(f, start, end):
+        for at, h, body in frames(f, start, end, bounds.max_event):
             event = decoder.feed(at, h, body)
             if decoder.done:
                 return
@@ -255,7 +256,7 @@ def boundaries(f: BinaryIO, every: int = 0, name: str = "", bounds: Bounds | Non
         return out
     bounds = bounds or Bounds()
     try:
-        for at, h, body in frames(f, 4, None):
+        for at, h, body in frames(f, 4, None, bounds.max_event):
             if bounds.stopped(name, h.log_pos, h.ts):
                 break
             if every and at - last >= every and not open_trx:

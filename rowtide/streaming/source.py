@@ -25,7 +25,7 @@ class Piece(InputPartition):
     run: int
 
 
-def commit_points(path: str, start: int, most: int) -> Iterator[tuple[int, int, int]]:
+def commit_points(path: str, start: int, most: int, max_event: int = wire.MAX_EVENT) -> Iterator[tuple[int, int, int]]:
     """(place, transactions, BEGINs since ``start``) behind each commit, of whole events only, up to about ``most`` bytes on."""
     trx = run = 0
     open_trx = False
@@ -33,7 +33,7 @@ def commit_points(path: str, start: int, most: int) -> Iterator[tuple[int, int,
         if f.read(4) != wire.MAGIC:
             return
         try:
-            for at, h, body in frames(f, max(4, start), None):
+            for at, h, body in frames(f, max(4, start), None, max_event):
                 end = at + h.size
                 if h.type == wire.QUERY:
                     word = keyword(wire.parse_query(body()[wire.HEADER_SIZE :])[1])
@@ -89,7 +89,7 @@ class BinlogStreamReader(DataSourceStreamReader):
                 at = {**at, "file": name, "pos": 4}
             base = (at["trx"], at["run"])
             from_ = at["pos"]
-            for end, trx, run in commit_points(path, from_, most - taken):
+            for end, trx, run in commit_points(path, from_, most - taken, self.bounds.max_event):
                 at = {"file": name, "pos": end, "trx": base[0] + trx, "run": base[1] + run}
             taken += at["pos"] - from_
             if taken >= most:
@@ -107,7 +107,7 @@ class BinlogStreamReader(DataSourceStreamReader):
             if name == end["file"]:
                 b, then = end["pos"], (trx, run)
             else:
-                points = list(commit_points(path, a, 1 << 62))
+                points = list(commit_points(path, a, 1 << 62, self.bounds.max_event))
                 b, then = (points[-1][0], (trx + points[-1][1], run + points[-1][2])) if points else (a, (trx, run))
             if b > a:
                 out.append(Piece(path, name, i, a, b, trx, run))

@@ -476,6 +476,53 @@ def test_damaged_files_end_with_an_error(spark, tmp_path):
         read(spark, folder, startFile="mysql-bin.000003").collect()
 
 
+def test_large_events_by_option(spark, tmp_path):
+    log = Log()
+    log.begin(T0)
+    log.map(1, "d", "t", [varchar(60_000)], T0)
+    log.rows(30, 1, [[(50_000).to_bytes(2, "little") + b"x" * 50_000] for _ in range(90)], T0)
+    log.map(1, "d", "t", [varchar(60_000)], T0)
+    log.rows(30, 1, [[(1).to_bytes(2, "little") + b"y"]], T0)
+    folder = log.save(tmp_path / "logs")
+    kinds = lambda **o: [r["kind"] for r in read(spark, folder, **o).orderBy("pos").collect()]
+    assert kinds() == ["query", "error"] and kinds(maxEventBytes=str(8 << 20)) == ["query", "rows", "rows"]
+
+
+def test_long_json_takes_linear_time():
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        items = [(12, b"\x01x")] * n
+        head = 8 + 5 * n
+        body = struct.pack("<II", n, head + 2 * n) + b"".join(b"\x0c" + struct.pack("<I", head + 2 * i) for i in range(n)) + b"\x01x" * n
+        began = time.perf_counter()
+        assert cells.json_text(b"\x03" + body) == "[" + ",".join(['"x"'] * len(items)) + "]"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_details_of_runs_with_many_hits(spark):
+    """Against sums over all rows before each hit: runs with one hit, with many, and without rows between them."""
+    from rowtide.operators import stats
+
+    rng, rows = __import__("random").Random(4), []
+    for seq in range(400):
+        run = seq // 130 if seq < 260 else 2 + (seq - 260) // 20
+        kind = "row" if rng.random() < 0.7 else "commit"
+        rows.append((seq, run, kind, "d", f"t{rng.randrange(4)}", rng.choice(["insert", "update", "delete"]), rng.randrange(1, 4)) if kind == "row" else (seq, run, kind, None, None, None, None))
+    feed = spark.createDataFrame(rows, "seq long, run long, kind string, db string, tb string, op string, rows long")
+    hits = feed.where("kind = 'commit' and seq % 3 != 0").select("seq", "run")
+    got = {(r["seq"], r["table"]): (r["inserts"], r["updates"], r["deletes"]) for r in stats.details(feed, hits).collect()}
+    want = {}
+    for h in hits.collect():
+        for r in rows:
+            if r[2] == "row" and r[1] == h["run"] and r[0] < h["seq"]:
+                own = want.setdefault((h["seq"], f"d.{r[4]}"), [0, 0, 0])
+                own[["insert", "update", "delete"].index(r[5])] += r[6]
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
 def test_interleaved_maps(spark, tmp_path):
     log = Log()
     log.begin(T0)
