@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, partitions
 
 THRESHOLD = 0.93
+#: Share of the links at the threshold itself that a visit reaches; closer ones are reached more often.
+RECALL = 0.9999
+#: Links that are planted to find the radius of it, at least, in each of two ways.
+PLANTED = 1 << 15
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 4096
-#: Vectors of a cell held in a task, and of its queries' share dealt to one task.
+#: Vectors of a block of cells held in a task, and of its queries' share dealt to one task.
 CHUNK, SHARE = 2048, 16_384
 
 
@@ -80,11 +84,32 @@ class MultiIndex:
                     heapq.heappush(heap, (a[oa[x]] + b[ob[y]], x, y))
 
 
-def fit(sample: np.ndarray, k: int, threshold: float) -> tuple[MultiIndex, float]:
-    """Codebooks fitted on the sample, and the radius within which every link lies."""
+def fit(sample: np.ndarray, k: int, threshold: float, recall: float = RECALL) -> tuple[MultiIndex, float]:
+    """Codebooks fitted on the sample, and the radius up to which cells are visited.
+
+    The radius is that within which ``recall`` of planted links lie: to vectors of the sample, whatever links they have,
+    others are put at a cosine of exactly ``threshold`` (no link is farther), once in random directions and once in the
+    direction of another vector of the sample; the larger radius of the two counts. All links lie within 2 - 2 * threshold.
+    """
     half = sample.shape[1] // 2
     k = max(1, min(k, len(sample)))
-    return MultiIndex([codebook(sample[:, :half], k), codebook(sample[:, half:], k)]), 2 - 2 * threshold + 1e-9
+    index, whole = MultiIndex([codebook(sample[:, :half], k), codebook(sample[:, half:], k)]), 2 - 2 * threshold + 1e-9
+    rng = np.random.default_rng(5)
+    (c1, c2), (b1, b2) = index.bounds(sample)
+    radii = []
+    for random in (True, False):
+        needed = []
+        for _ in range(-(-PLANTED // len(sample))):
+            way = rng.normal(size=sample.shape) if random else sample[rng.permutation(len(sample))]
+            way = way - (way * sample).sum(axis=1, keepdims=True) * sample
+            length = np.sqrt((way * way).sum(axis=1))
+            own = np.flatnonzero(length > 1e-6)
+            (d1, d2), (e1, e2) = index.bounds(threshold * sample[own] + (1 - threshold**2) ** 0.5 * way[own] / length[own, None])
+            at = np.arange(len(own))
+            needed.append(np.minimum(b1[own, d1] + b2[own, d2], e1[at, c1[own]] + e2[at, c2[own]]))
+        if len(needed := np.concatenate(needed)):
+            radii.append(np.quantile(needed, recall, method="higher"))
+    return index, min(whole, float(max(radii)) + 1e-9) if radii else whole
 
 
 def usable(v: Column, label: Column) -> Column:
@@ -92,12 +117,12 @@ def usable(v: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept), one row per vector.
 
     Vectors of one label (and dimension) with a cosine of at least ``threshold`` link; every pair that is reported was
-    compared in double precision. Every vector is indexed. A vector visits every cell that can hold a link of it;
-    a pair counts if either of the two visits the other's cell, so n_links is symmetric. Equal vectors are one class:
+    compared in double precision. Every vector is indexed. A vector visits the nearest cells up to the radius of the target
+    ``recall`` (1: every cell that can hold a link of it; see :func:`fit`); a pair counts if either of the two visits the other's cell, so n_links is symmetric. Equal vectors are one class:
     they link with each other and share their links. Vectors that are null, empty, zero, or hold null or non-finite
     components, and those with a null label, link with nothing: n_links 0, component_id their own id. component_id is
     the least id reachable (null ids left out); kept is id = component_id (false for a null id). An empty table gives
@@ -123,7 +148,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return unit(out)
 
     few = few or classes.limit(1).select("v").collect()
-    index, radius = fit(padded([r["v"] for r in few]), int(np.clip(round((n / (40 * groups)) ** 0.5), 2, 256)), threshold)
+    index, radius = fit(padded([r["v"] for r in few]), int(np.clip(round((n / (40 * groups)) ** 0.5), 2, 256)), threshold, recall)
+    if recall >= 1:
+        radius = 2 - 2 * threshold + 1e-9
     del few
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +160,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             lists = b.column("v").to_pylist()
             x = padded(lists)
             (c1, c2), (b1, b2) = index.bounds(x)
-            visits = [[i * index.k + j for i, j in index.traverse(p, q, radius)] for p, q in zip(b1, b2, strict=True)]
+            visits = []
+            for p, q in zip(b1, b2, strict=True):
+                blocks: dict[int, list[int]] = {}
+                for i, j in index.traverse(p, q, radius):
+                    blocks.setdefault(i, []).append(j)
+                visits.append([{"block": i, "cells": js} for i, js in blocks.items()])
             label = [f"{len(y)} {z}" for y, z in zip(lists, b.column("label").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(label), b.column("size"), pa.array((c1 * index.k + c2).astype(np.int32)), pa.array(visits, pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary())], ["cid", "label", "size", "cell", "visits", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(label), b.column("size"), pa.array((c1 * index.k + c2).astype(np.int32)), pa.array(visits, pa.list_(pa.struct([("block", pa.int32()), ("cells", pa.list_(pa.int32()))]))), pa.array([r.tobytes() for r in x], pa.binary())], ["cid", "label", "size", "cell", "visits", "v"])
 
-    placed = scratch.save(classes.select("cid", "label", "size", "v").mapInArrow(place, "cid long, label string, size long, cell int, visits array<int>, v binary"), "placed")
-    cells = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    placed = scratch.save(classes.select("cid", "label", "size", "v").mapInArrow(place, "cid long, label string, size long, cell int, visits array<struct<block:int,cells:array<int>>>, v binary"), "placed")
+    block = F.floor(F.col("cell") / index.k).cast("int")  # the cells of one centre of the first half: a vector goes to a block once, whatever it visits there
+    cells = placed.groupBy("label", block.alias("block")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     cells = scratch.save(cells, "cells")
 
     def upto(c: str) -> Column:
@@ -147,10 +180,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def of(c: str, salt: int) -> Column:
         return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(c)).cast("int")
 
-    members = placed.drop("visits").withColumn("own", F.col("cell")).join(cells, ["label", "cell"]).withColumn("chunk", of("chunks", 1)).withColumn("share", upto("shares")).withColumn("asks", F.lit(0))
-    queries = placed.withColumn("own", F.col("cell")).withColumn("cell", F.explode("visits")).drop("visits").join(cells, ["label", "cell"]).withColumn("share", of("shares", 2)).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(1))
-    key = ["label", "cell", "chunk", "share"]
-    dealt = members.unionByName(queries).select(*key, "asks", "cid", "size", "own", "v")
+    members = placed.drop("visits").withColumn("block", block).join(cells, ["label", "block"]).withColumn("chunk", of("chunks", 1)).withColumn("share", upto("shares")).withColumn("asks", F.lit(0)).withColumn("visited", F.lit(None).cast("array<int>"))
+    queries = placed.withColumn("visit", F.explode("visits")).withColumn("block", F.col("visit.block")).withColumn("visited", F.col("visit.cells")).drop("visits", "visit").join(cells, ["label", "block"])
+    queries = queries.withColumn("share", of("shares", 2)).withColumn("chunk", upto("chunks")).withColumn("asks", F.lit(1))
+    key = ["label", "block", "chunk", "share"]
+    dealt = members.unionByName(queries).select(*key, "asks", "cid", "size", F.col("cell").alias("own"), "v", "visited")
     dealt = dealt.repartition(partitions(spark), *key).sortWithinPartitions(*key, "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +205,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 if asks[s]:
                     for i in range(s, e, 512):
                         j = min(e, i + 512)
-                        out += held.ask(cid[i:j], size[i:j], own[i:j], x[i:j])
+                        out += held.ask(cid[i:j], size[i:j], own[i:j], x[i:j], b.column("visited")[i:j].to_pylist())
                 else:
                     held.add(cid[s:e], size[s:e], own[s:e], x[s:e])
             yield flat(out)
@@ -197,7 +231,7 @@ def flat(parts: list[tuple]) -> pa.RecordBatch:
 
 
 class Cell:
-    """Members of a chunk of a cell against the queries that visit it: (a, b, 0) for a link that spans, (a, a, n) for n links of a."""
+    """Members of a chunk of a block of cells against the queries that visit some of them: (a, b, 0) for a link that spans, (a, a, n) for n links of a."""
 
     def __init__(self, index: MultiIndex, radius: float, threshold: float):
         self.index, self.radius, self.threshold = index, radius, threshold
@@ -214,11 +248,13 @@ class Cell:
             self.given = np.zeros(len(self.cid), dtype=np.int64)
             _, (self.b1, self.b2) = self.index.bounds(self.x)
 
-    def ask(self, cid: np.ndarray, size: np.ndarray, own: np.ndarray, x: np.ndarray) -> list[tuple]:
+    def ask(self, cid: np.ndarray, size: np.ndarray, own: np.ndarray, x: np.ndarray, visited: list[list[int]]) -> list[tuple]:
         if not self.parts:
             return []
         self.ready()
-        q, m = np.nonzero(x @ self.x.T >= self.threshold)
+        open_to = np.zeros((len(x), self.index.k), dtype=bool)
+        open_to[np.repeat(np.arange(len(x)), list(map(len, visited))), np.concatenate(visited).astype(int)] = True
+        q, m = np.nonzero((x @ self.x.T >= self.threshold) & open_to[:, self.own % self.index.k])
         other = cid[q] != self.cid[m]
         q, m = q[other], m[other]
         if not len(q):
