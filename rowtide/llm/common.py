@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and outlive lost executors."""
 
+    saves = 0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rowtide/{name}-{uuid.uuid4().hex}"
@@ -46,6 +48,9 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, fmt: str = "parquet", **options: str) -> DataFrame:
         path = self.path(name)
+        Scratch.saves += 1
+        if Scratch.saves % 8 == 0:
+            self.tidy()
         df.write.format(fmt).options(**({"compression": "zstd"} | options)).save(path)
         return self.spark.read.format(fmt).schema(df.schema).load(path)
 
@@ -55,8 +60,12 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Lets the driver give back memory, and Spark the shuffle files of frames that are gone."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def utf8(text: Column) -> Column:

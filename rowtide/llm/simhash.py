@@ -341,19 +341,17 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, s
     return out
 
 
-def open_pairs(members: DataFrame, shared: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs that share a rare shingle, that no chain of links in ``found`` connects yet, and that sizes and fingerprints allow to be similar.
+def open_pairs(rows: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs below one root that no chain of links in ``found`` connects yet, and that sizes and fingerprints allow to be similar.
 
-    The fingerprints of the sets are searched in the :class:`GrayIndex` below roots that are the shingles; of shingles
-    that the same sets have, one is a root.
+    The fingerprints of the sets are searched in the :class:`GrayIndex`.
     """
-    roots = shared.groupBy("members", "count").agg(F.min("shingle").alias("shingle")).select("shingle")
-    rows = members.join(roots, "shingle").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    rows = scratch.save(rows.select("shingle", "cid", F.coalesce("component", "cid").alias("component")), "open-rows")
-    apart = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    rows = rows.join(apart, "shingle").join(classes.select("cid", "n", "x1", "x2"), "cid")
+    rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("least", "cid", F.coalesce("component", "cid").alias("component"))
+    rows = scratch.save(rows, "open-rows")
+    apart = rows.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("least")
+    rows = rows.join(apart, "least").join(classes.select("cid", "n", "x1", "x2"), "cid")
     kinds = F.when(F.col("n") < SMALL, F.array(F.lit(0))).when(F.col("n") * similarity > SMALL, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    rows = rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("shingle", "kind")).drop("shingle")
+    rows = rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("least", "kind")).drop("least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in rooted_groups(batches):
@@ -368,8 +366,9 @@ def open_pairs(members: DataFrame, shared: DataFrame, found: DataFrame, classes:
                     keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
                     if k:
                         keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
-                    a, b = cid[i[keep]], cid[j[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    if keep.any():
+                        a, b = cid[i[keep]], cid[j[keep]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return dealt(rows, scratch, "open-roots").mapInArrow(run, "a long, b long").distinct()
 
@@ -377,20 +376,19 @@ def open_pairs(members: DataFrame, shared: DataFrame, found: DataFrame, classes:
 def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): links among the ``cid`` of distinct sets that have the components of all pairs at or over the similarity.
 
-    Sets that share a rare shingle are compared with the least of them first; then, among what those links leave apart,
+    A rare shingle's sets stand below the least of them, which is their root: sets that share one have a root in common, and
+    sets that share many have few. All sets of a root are compared with it first; then, among what those links leave apart,
     whatever the index over the sets' fingerprints finds close is.
     """
     members = rows.select(F.col("row").alias("cid"), "firsts").join(classes.select("cid"), "cid", "left_semi").select("cid", F.explode("firsts").alias("shingle"))
     members = scratch.save(members, "members")
-    shared = members.groupBy("shingle").agg(F.min("cid").alias("least"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("count > 1")
-    shared = scratch.save(shared, "shared")
-    kept = scratch.save(members.join(shared.select("shingle"), "shingle", "left_semi"), "shared-members")
+    shared = members.groupBy("shingle").agg(F.min("cid").alias("least"), F.count("*").alias("count")).where("count > 1").drop("count")
+    roots = scratch.save(members.join(shared, "shingle").select("least", "cid").distinct(), "roots")
     scratch.drop("members")
-    first = kept.join(shared.select("shingle", "least"), "shingle").where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
-    first = scratch.save(close(first, classes, similarity), "first")
+    first = scratch.save(close(roots.where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")), classes, similarity), "first")
     near = verified(first, rows, words, similarity, scratch, "near-first")
     found = components(near, scratch, "cc-first")
-    rest = scratch.save(open_pairs(kept, shared, found, classes, similarity, scratch), "rest")
+    rest = scratch.save(open_pairs(roots, found, classes, similarity, scratch), "rest")
     rest = verified(rest, rows, words, similarity, scratch, "near-rest")
     return near.unionByName(rest)
 
@@ -428,6 +426,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"))
         more = ["mark", (F.col("row") == F.col("kept_row")).alias("kept")]
     named = scratch.save(grouped.join(least, "component").select(*key, *least.columns[1:]), "named")
-    scratch.drop("classes", "links", "large-roots", "shared", "shared-members", "first", "near-first", "near-rest", "open-rows", "open-roots", "rest")  # nothing reads them any more
+    scratch.drop("classes", "links", "large-roots", "roots", "first", "near-first", "near-rest", "open-rows", "open-roots", "rest")  # nothing reads them any more
     rows = fps.join(named, key)
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
