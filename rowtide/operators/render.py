@@ -25,12 +25,30 @@ class Style:
     insert_batch: int = 1
     #: The table's rows carry what :func:`prepare` adds.
     prepared: bool = False
+    #: No table of the catalog has more columns (0: not known, or over UNROLLED).
+    columns: int = 0
+
+
+#: Tables of up to so many columns are rendered by an expression a column, which is compiled; wider ones by functions of arrays.
+UNROLLED = 24
 
 
 def prepare(catalog: DataFrame, style: Style) -> DataFrame:
-    """Adds to each table what every statement of it repeats: its quoted names, and the head of an INSERT of all of its columns."""
+    """Adds to each table what every statement of it repeats: its quoted names, the head of an INSERT of all of its columns, and the key of WHERE."""
     whole = catalog.withColumn("idents", F.transform("names", ident)).withColumn("n_log", F.size("names"))
-    return whole.withColumn("head", insert_head(replace(style, prepared=False))).drop("n_log")
+    plain = replace(style, prepared=False)
+    return whole.withColumn("head", insert_head(plain)).withColumn("key", key_ordinals(plain)).drop("n_log")
+
+
+def prepared(style: Style, tables: list[dict]) -> Style:
+    """The style for rows of these tables with what :func:`prepare` adds."""
+    columns = max((len(t["cols"]) for t in tables), default=0)
+    return replace(style, prepared=True, columns=columns if columns <= UNROLLED else 0)
+
+
+def among(i: int) -> Column:
+    """Whether a row has a column of that number, with a name and a place in the log."""
+    return F.lit(i) < width()
 
 
 def ident_at(i: Column, style: Style) -> Column:
@@ -45,6 +63,8 @@ def width() -> Column:
 def key_ordinals(style: Style) -> Column:
     """Columns of WHERE: of a unique key (if they come first), the primary key, a unique key, else all."""
     every = F.sequence(F.lit(0), width() - 1)
+    if style.prepared:
+        return F.when(F.col("n_log") >= F.size("names"), F.col("key")).otherwise(key_ordinals(replace(style, prepared=False)))
     if style.full_columns:
         return every
     within = lambda key: F.forall(key, lambda i: i < F.col("n_log"))
@@ -58,6 +78,9 @@ def target(style: Style) -> Column:
 
 
 def where_clause(image: Column, style: Style) -> Column:
+    if style.columns:
+        key = [F.get(key_ordinals(style), F.lit(j)) for j in range(style.columns)]
+        return F.concat_ws(" AND ", *(condition(ident_at(i, style), F.get(image, i)) for i in key))
     return F.array_join(F.transform(key_ordinals(style), lambda i: condition(ident_at(i, style), F.get(image, i))), " AND ")
 
 
@@ -73,6 +96,9 @@ def insert_head(style: Style) -> Column:
 
 
 def insert_tuple(image: Column, style: Style) -> Column:
+    if style.columns:
+        wanted = lambda i: among(i) & ~F.array_contains("pk", F.lit(i)) if style.ignore_pk else among(i)
+        return F.concat(F.lit("("), F.concat_ws(",", *(F.when(wanted(i), literal(F.get(image, F.lit(i)))) for i in range(style.columns))), F.lit(")"))
     return F.concat(F.lit("("), F.array_join(F.transform(insert_ordinals(style), lambda i: literal(F.get(image, i))), ","), F.lit(")"))
 
 
@@ -82,6 +108,9 @@ def set_ordinals(style: Style) -> Column:
 
 
 def set_clause(image: Column, style: Style) -> Column:
+    if style.columns:
+        wanted = lambda i: among(i) if style.full_columns else among(i) & ~F.get("before", F.lit(i)).eqNullSafe(F.get("after", F.lit(i)))
+        return F.concat_ws(",", *(F.when(wanted(i), F.concat(ident_at(F.lit(i), style), F.lit("="), literal(F.get(image, F.lit(i))))) for i in range(style.columns)))
     return F.array_join(F.transform(set_ordinals(style), lambda i: F.concat(ident_at(i, style), F.lit("="), literal(F.get(image, i)))), ",")
 
 
@@ -120,9 +149,10 @@ def statements(changes: DataFrame, style: Style) -> DataFrame:
     update = F.concat(F.lit("UPDATE "), target(style), F.lit(" SET "), set_clause(image, style), F.lit(" WHERE "), where_clause(where, style), F.lit(";"))
     delete = F.concat(F.lit("DELETE FROM "), target(style), F.lit(" WHERE "), where_clause(where, style), F.lit(";"))
     insert = F.concat(insert_head(style), insert_tuple(image, style), F.lit(";"))
+    some = F.length(set_clause(image, style)) > 0 if style.columns else F.size(set_ordinals(style)) > 0
     error = problem(style)
     changes = changes.withColumn("error", F.coalesce("error", error) if "error" in changes.columns else error)
-    sql = F.when(verb == "insert", insert).when(verb == "delete", delete).when(F.size(set_ordinals(style)) > 0, update)
+    sql = F.when(verb == "insert", insert).when(verb == "delete", delete).when(some, update)
     return changes.withColumn("sql", F.when(F.col("error").isNull(), sql))
 
 

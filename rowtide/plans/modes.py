@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def changes(spark: SparkSession, o: Options, prepared: render.Style | None = Non
 
 def rendered(spark: SparkSession, o: Options) -> DataFrame:
     """Statements of the window, one row a change: sql, file, info, trx_id, error and the order (file_ord, pos, row_no)."""
-    how = replace(style(o), prepared=True)
+    how = render.prepared(style(o), tables(o))
     out = render.batched_inserts(changes(spark, o, how), how)
     prefix = "flashback" if o.undo else "to_sql"
     out = out.withColumn("row_no", F.coalesce("row_no", F.lit(0))).withColumn("file", out_file(prefix, o.file_per_table)).withColumn("info", extra_info(o.offset))
