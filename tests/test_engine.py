@@ -476,35 +476,6 @@ def test_damaged_files_end_with_an_error(spark, tmp_path):
         read(spark, folder, startFile="mysql-bin.000003").collect()
 
 
-@pytest.mark.parametrize("more", [{}, {"full_columns": True}, {"ignore_primary_key_for_insert": True}, {"unique_key_first": True}, {"work": "flashback", "on_error": "skip-bad-event"}, {"insert_batch": 2}, {"no_db_prefix": True, "strict_schema": True}])
-def test_wide_and_narrow_tables_are_rendered_alike(spark, tmp_path, monkeypatch, more):
-    """Expressions a column against functions of arrays: keys of all kinds, columns that the log or the schema lacks, nulls, updates that change nothing."""
-    from rowtide.operators import render
-
-    log, rng = Log(), __import__("random").Random(2)
-    cols = [column("a"), column("b"), column("c", "varchar"), column("d")]
-    tables = [table("d", "p", cols, ("c", "a")), table("d", "u", cols, (), [("d", "b"), ("a",)]), table("d", "n", cols), table("d", "both", cols, ("d",), [("b",)]), table("d", "short", cols[:2], ("b",)), table("d", "odd", cols, ("nope",))]
-    for k in range(40):
-        log.begin(T0 + k)
-        tb = tables[k % 6]["table"]
-        n = 4 if k % 5 else 3  # at times the log has fewer columns than the schema
-        log.map(10 + k, "d", tb, [INT, INT, varchar(20), INT][:n], T0 + k)
-        row = lambda n=n: [None if rng.random() < 0.2 else i4(rng.randrange(3)) if i != 2 else s1(rng.choice(["x", "it's", "", "a\\\\b%"])) for i in range(n)]
-        kind = rng.choice([30, 31, 32])
-        images = [row() for _ in range(4)]
-        if kind == 31 and k % 4 == 0:
-            images[1] = images[0]
-        log.rows(kind, 10 + k, images, T0 + k)
-        log.map(90 + k, "d", tb, [INT, INT, varchar(20), INT][:n], T0 + k)
-        log.rows(31, 90 + k, [[i4(1)], [i4(7)]], T0 + k, present=[0], after=[1])
-        log.xid(T0 + k)
-    o = Options(**({"binlog_dir": log.save(tmp_path / "logs"), "start_file": "mysql-bin.000001", "schema_file": schema_file(tmp_path, *tables)} | more))
-    pick = lambda: [(r["pos"], r["row_no"], r["sql"], r["error"]) for r in modes.rendered(spark, o).orderBy("pos", "row_no", "sql").collect()]
-    narrow = pick()
-    monkeypatch.setattr(render, "UNROLLED", 0)
-    assert narrow == pick() and sum(x[2] is not None for x in narrow) > 30 and any(x[3] for x in narrow)
-
-
 def test_large_events_by_option(spark, tmp_path):
     log = Log()
     log.begin(T0)
