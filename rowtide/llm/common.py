@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts make small batches.
 ARROW_BATCH_BYTES = 8 << 20
+#: Bytes of files for which there is one partition at least, and partitions that are asked for on that account at most.
+PARTITION_BYTES, MOST_PARTITIONS = 256 << 20, 20_000
 T = TypeVar("T")
 _local_dirs: dict[str, str] = {}
 
@@ -78,8 +80,11 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     return docs.select(docs[id_col].cast("long").alias("id"), utf8(docs[text_col]).alias("body"), *(docs[c] for c in more))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Shuffle partitions of the session; for a frame of files more, if there would be over PARTITION_BYTES in each."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if df is not None else 0
+    return max(n, min(size // PARTITION_BYTES, MOST_PARTITIONS)) if size < 1 << 60 else n
 
 
 def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,7 +93,7 @@ def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
     The cuts are quantiles of the key column alone; :func:`deal` then moves the rows once. A key that holds several
     cuts, and null if it holds as many rows, is split into ranges of a hash of the text, which is ``tie`` for its rows (else 0).
     """
-    n = partitions(df.sparkSession)
+    n = partitions(df.sparkSession, df)
     found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q"), F.count("*").alias("n"), F.count(key).alias("known")).first()
     cuts = sorted(found["q"] or [])
     shares = {k: m for k, m in Counter(cuts).items() if m > 1}
@@ -109,7 +114,7 @@ def ordered(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def deal(df: DataFrame, *then: str | Column) -> DataFrame:
     """Each bucket of :func:`ordered` to a task, sorted by bucket and the given columns; a task has several where keys or null hold many."""
-    n = partitions(df.sparkSession) + 2
+    n = partitions(df.sparkSession, df) + 2
     return df.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket", *then)
 
 

@@ -447,6 +447,16 @@ def test_piecewise_hash(docs, hard, none):
     assert ctph.compare_with_edits(none).count() == 0
 
 
+def test_partitions_follow_the_size_of_files(spark, docs, monkeypatch, sf_dir):
+    from rowtide.llm import common
+
+    files, n = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.partitions(spark)
+    assert common.partitions(spark, files) == n == common.partitions(spark, spark.createDataFrame([(1,)], "a int"))
+    monkeypatch.setattr(common, "PARTITION_BYTES", 1 << 10)
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 40)
+    assert common.partitions(spark, files) == 40
+
+
 def test_repeated_ids_are_dealt_out(spark, monkeypatch):
     """A third of the rows under one id, and a third without one: their ranges are split, and results are as in one order."""
     rng = random.Random(9)
@@ -454,7 +464,7 @@ def test_repeated_ids_are_dealt_out(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     from rowtide.llm import common
 
-    monkeypatch.setattr(common, "partitions", lambda spark: 9)
+    monkeypatch.setattr(common, "partitions", lambda spark, df=None: 9)
     dealt = common.deal(common.ordered(common.text_rows(frame, "doc_id", "text"), "id", "body"), "id", "tie", "body")
     sizes = [len(p) for p in dealt.rdd.glom().collect()]
     assert max(sizes) < 45 and sum(sizes) == len(rows)
