@@ -11,6 +11,7 @@ from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/rowtide/{name}-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+        self.tidy()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,7 +69,16 @@ class Scratch:
     def tidy(self) -> None:
         """Lets the driver give back memory, and Spark the shuffle files of frames that are gone."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        jvm = self.spark._jvm
+        jvm.System.gc()
+        # what many short-lived threads have freed outside the heap; the server's class is not public, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = self.spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        try:
+            invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+        except Py4JError:
+            pass  # a JVM without that command
 
 
 def utf8(text: Column) -> Column:
