@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, resident, text_rows
+from .common import Bounded, Scratch, resident, text_rows
 from .words import WordIds
 
 #: Bytes of pre-tokens that are merged in one run of the queue; a longer pre-token is a run of its own.
@@ -58,6 +58,25 @@ class RankQueue:
         return self.top != 0
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Decoder(Bounded):
+    """The bytes of each token, and the ids as text."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.tokens[r] = t
+        self.names = [str(i) for i in range(len(self.tokens))]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+
 class Ranks:
     """A vocabulary of ranks: which token any two tokens merge into."""
 
@@ -149,17 +168,15 @@ class Ranks:
 
 
 class BytePairs(WordIds):
-    """Encodes whole texts, each match of the pattern by itself, and decodes ids."""
+    """Encodes whole texts, each match of the pattern by itself."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         super().__init__()
-        with open(path, "rb") as f:
-            self.model = Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        self.model = Ranks(read_ranks(path))
         self.cuts = pattern == PATTERN
         self.bytes_of = np.array([len(t) for t in self.model.tokens], dtype=np.int64)
-        self.names = [str(i) for i in range(self.model.n)]
         self.split = regex.compile(pattern).findall
 
     def odd(self, texts: pa.Array) -> np.ndarray:
@@ -184,9 +201,6 @@ class BytePairs(WordIds):
     def rows(self, texts: list[str]) -> np.ndarray:
         return self.pieces([x for t in texts for x in self.split(t)])[0]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.model.tokens.__getitem__, ids))
-
 
 def model(path: str, pattern: str) -> BytePairs:
     """One model a worker."""
@@ -211,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(id, n_tokens, ids_sha256, decoded_sha256): texts encoded, and the bytes decoded from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = model(path, pattern)
+        tokens = resident(f"tokens {path}", lambda: Decoder(path))
         for b in batches:
             n, ids_sha, bytes_sha = [], [], []
             ids_column = b.column("ids")
@@ -219,8 +233,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             for s, e in zip(at[:-1], at[1:], strict=True):
                 ids = values.slice(s, e - s).to_numpy(zero_copy_only=False).tolist()
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(pairs.names.__getitem__, ids)).encode()).hexdigest())
-                bytes_sha.append(hashlib.sha256(pairs.decode(ids)).hexdigest())
+                ids_sha.append(hashlib.sha256(" ".join(map(tokens.names.__getitem__, ids)).encode()).hexdigest())
+                bytes_sha.append(hashlib.sha256(tokens.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encode(docs, path, pattern, id_col, text_col).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
