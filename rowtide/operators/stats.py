@@ -7,6 +7,7 @@ start_pos, end_pos, db, tb, op, rows. Begin marks carry their start as start_pos
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def closing(ts: np.ndarray, interval: int) -> np.ndarray:
 def report_windows(feed: DataFrame, interval: int) -> DataFrame:
     """(seq, win) of each event. The chain of windows depends on the data, so a segment (at most a log file) is one group; only its order and times are moved."""
 
-    def chain(key: tuple, pdf):  # noqa: ANN001, ANN202
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         return pdf[["segment", "seq"]].assign(win=closing(pdf["ts"].to_numpy(), interval))
 

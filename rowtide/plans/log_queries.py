@@ -10,6 +10,7 @@ import struct
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def written(spark: SparkSession, rows: DataFrame, build: Callable[[B.Log, list[A
     """A folder with a log for each ``file`` of the rows, in order of ``k``; a task writes a file at a time."""
     folder = shared_folder(spark, "logs")
 
-    def write(key: tuple, pdf):  # noqa: ANN001, ANN202
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         log = B.Log(crc=crc)
         build(log, list(pdf.sort_values("k").itertuples(index=False)), int(key[0]))
         put(f"{folder}/mysql-bin.{int(key[0]):06d}", bytes(log.data))

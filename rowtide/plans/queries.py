@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -391,7 +392,7 @@ def orders_log(spark: SparkSession, sf: str, folder: str, crc: bool = True) -> d
     columns = [(8, b""), varchar(20), (246, bytes([15, 2])), (18, b"\0"), INT]
     rows = read(spark, sf, "orders").selectExpr("o_orderkey k", "o_orderstatus s", "cast(cast(o_totalprice as decimal(15,2)) as string) p", "date_format(o_orderdate, 'yyyyMMddHHmmss') d", "o_custkey c", "cast(o_orderkey div 400000 as int) + 1 file")
 
-    def write(key: tuple, pdf):  # noqa: ANN001, ANN202
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         log, every = Log(crc=crc), list(pdf.sort_values("k").itertuples(index=False))
         for i in range(0, len(every), 50):
             ts = 1_700_000_000 + i
