@@ -341,10 +341,33 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, s
     return out
 
 
-def open_pairs(rows: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def forest(up: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which of the pairs, taken in order, join two trees of ``up`` (a root for each place), which is changed."""
+    at = np.flatnonzero(up[a] != up[b])
+    at = at[np.argsort(order[at], kind="stable")]
+    taken, roots = [], {}
+
+    def top(x: int) -> int:
+        while (y := roots.get(x, x)) != x:
+            roots[x] = x = roots.get(y, y)
+        return x
+
+    for k, x, y in zip(at.tolist(), up[a[at]].tolist(), up[b[at]].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            roots[max(x, y)] = min(x, y)
+            taken.append(k)
+    if roots:
+        known = np.unique(up)
+        up[:] = np.array([top(x) for x in known.tolist()], dtype=up.dtype)[np.searchsorted(known, up)]
+    return np.array(taken, dtype=np.int64)
+
+
+def open_pairs(rows: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch, trees: int | None) -> DataFrame:
     """(a, b): pairs below one root that no chain of links in ``found`` connects yet, and that sizes and fingerprints allow to be similar.
 
-    The fingerprints of the sets are searched in the :class:`GrayIndex`.
+    The fingerprints of the sets are searched in the :class:`GrayIndex`. With ``trees``, of each root only as many pairs as
+    would connect its sets if all were links, the closest of each lot first (0: by both halves of the fingerprint, 1: by its second one).
     """
     rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("least", "cid", F.coalesce("component", "cid").alias("component"))
     rows = scratch.save(rows, "open-rows")
@@ -361,13 +384,20 @@ def open_pairs(rows: DataFrame, found: DataFrame, classes: DataFrame, similarity
                 own = np.flatnonzero(kind == k)
                 if not len(own):
                     continue
+                # a component in another group is another tree
+                up = np.unique(np.stack([group, component]), axis=1, return_inverse=True)[1].ravel() if trees is not None else None
                 for i, j in GrayIndex(group[own], x1[own]).pairs(radius):
                     i, j = own[i], own[j]
                     keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
                     if k:
                         keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
-                    if keep.any():
-                        a, b = cid[i[keep]], cid[j[keep]]
+                    i, j = i[keep], j[keep]
+                    if up is not None and len(i):
+                        apart = np.bitwise_count(x2[i] ^ x2[j]).astype(int) + (np.bitwise_count(x1[i] ^ x1[j]) if trees == 0 else 0)
+                        some = forest(up, i, j, apart)
+                        i, j = i[some], j[some]
+                    if len(i):
+                        a, b = cid[i], cid[j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return dealt(rows, scratch, "open-roots").mapInArrow(run, "a long, b long").distinct()
@@ -377,8 +407,9 @@ def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: f
     """(a, b): links among the ``cid`` of distinct sets that have the components of all pairs at or over the similarity.
 
     A rare shingle's sets stand below the least of them, which is their root: sets that share one have a root in common, and
-    sets that share many have few. All sets of a root are compared with it first; then, among what those links leave apart,
-    whatever the index over the sets' fingerprints finds close is.
+    sets that share many have few. All sets of a root are compared with it first; then twice as many pairs as could connect
+    what those links leave apart, among those that the index over the sets' fingerprints finds close; then all pairs that it
+    finds close and that are still apart. So a group of copies is held together by a number of pairs that grows with its size.
     """
     members = rows.select(F.col("row").alias("cid"), "firsts").join(classes.select("cid"), "cid", "left_semi").select("cid", F.explode("firsts").alias("shingle"))
     members = scratch.save(members, "members")
@@ -387,10 +418,12 @@ def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: f
     scratch.drop("members")
     first = scratch.save(close(roots.where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")), classes, similarity), "first")
     near = verified(first, rows, words, similarity, scratch, "near-first")
-    found = components(near, scratch, "cc-first")
-    rest = scratch.save(open_pairs(roots, found, classes, similarity, scratch), "rest")
-    rest = verified(rest, rows, words, similarity, scratch, "near-rest")
-    return near.unionByName(rest)
+    for k, trees in enumerate((0, 1, None)):
+        found = components(near, scratch, f"cc-{k}-first")
+        more = scratch.save(open_pairs(roots, found, classes, similarity, scratch.part(f"{k}"), trees), f"rest-{k}")
+        near = near.unionByName(verified(more, rows, words, similarity, scratch, f"near-rest-{k}"))
+        scratch.drop(f"rest-{k}", f"{k}")
+    return near
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
@@ -426,6 +459,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"))
         more = ["mark", (F.col("row") == F.col("kept_row")).alias("kept")]
     named = scratch.save(grouped.join(least, "component").select(*key, *least.columns[1:]), "named")
-    scratch.drop("classes", "links", "large-roots", "roots", "first", "near-first", "near-rest", "open-rows", "open-roots", "rest")  # nothing reads them any more
+    scratch.drop("classes", "links", "large-roots", "roots", "first", "near-first", *(f"near-rest-{k}" for k in range(3)))  # nothing reads them any more
     rows = fps.join(named, key)
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
