@@ -47,12 +47,6 @@ class Scratch:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
         self.tidy()
 
-    def part(self, name: str) -> Scratch:
-        """A scratch of its own below this one, which :meth:`drop` of its name removes whole."""
-        out = object.__new__(Scratch)
-        out.spark, out.root = self.spark, self.path(name)
-        return out
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
