@@ -588,6 +588,24 @@ def test_toxicity_hard_cases(spark, hard, none):
     assert empty.score(toxicity.Reader(empty)("")) < 0.5 and not limits
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    """4,500 documents of each class, in several parts: none is left out, and parts together know what one part alone can't."""
+    monkeypatch.setattr(toxicity, "PART", 2000)
+    words = ["bread", "house", "river", "stone", "cloud"]
+    rows = [(i, f"{words[i % 5]} {words[i % 3]} {'vile' if i % 2 else 'fine'} {words[i % 4]}", "en", i % 2) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and zlib.crc32(b"c%d" % r[0]) % 3]
+    seen = []
+    begin = toxicity.Training.__init__
+    monkeypatch.setattr(toxicity.Training, "__init__", lambda self, seen_, n, seed=7: (seen.append((seen_, n)), begin(self, seen_, n, seed))[1])
+    model, _ = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    [(with_bucket, n)] = seen
+    assert n.tolist() == [sum(r[3] == y for r in used) for y in (0, 1)]
+    assert with_bucket[toxicity.features("vile")[0]].tolist() == [0, n[1]]
+    read = toxicity.Reader(model)
+    assert model.score(read("stone vile")) > 0.5 > model.score(read("stone fine"))
+
+
 def test_license_scan(docs, hard, none, spark):
     notice, long = licenses.TEMPLATES["mit-notice"], licenses.TEMPLATES["mit"]
     changed = long.replace("free of charge", "without fee").replace("Software without", "Software entirely without")
