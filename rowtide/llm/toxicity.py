@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 PART, ROUNDS = 6000, 4
 #: Rows of a table of parameters that are summed in one task.
 SLICE = 1 << 12
+#: Places in a unit of the logit at which calibrating documents are counted.
+BINS = 1024
 #: Lengths of the word beginnings that are embedded beside the word.
 STEMS = (4, 5, 6)
 #: Words that a worker remembers at most, and words of a text that are looked at together.
@@ -349,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The classifier and a threshold for each language, from all labelled documents whose crc32(id) mod FOLDS isn't 0.
 
     A third of them, by a hash of the id, calibrates, the others train: the score is shifted and each language's threshold set
-    where the errors of both classes, weighed alike, are fewest; languages with under 20 of either class use 0.5. Neither
+    where the errors of both classes, weighed alike, are fewest, by their counts at each place of the logit; languages with under 20 of either class use 0.5. Neither
     ids nor languages enter a score.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -365,28 +367,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for _, _, toxic, apart, langs, docs, pool in documents_of(batches):
             at = np.flatnonzero(apart)
             z = np.array([sent.value.logit(docs[i], pool) for i in at], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(z), pa.array(toxic[at])], ["lang", "z", "toxic"])
+            place = np.round(np.clip(z, -60, 60) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in at], pa.string()), pa.array(place), pa.array(toxic[at].astype(np.int64))], ["lang", "place", "toxic"])
 
     model = trained.classifier()
-    got = chunks.mapInArrow(logits, "lang string, z double, toxic boolean").toArrow()
-    z, y, langs = (np.array(got[c].to_pylist()) for c in ("z", "toxic", "lang"))
-    if len(y) and y.any() and not y.all():
-        cut = best_cut(z, y)
-        model.bias -= cut
-        z -= cut
-        for lang in sorted(set(got["lang"].to_pylist()) - {None}):
-            mine = langs == lang
-            if min(y[mine].sum(), (~y[mine]).sum()) >= 20:
-                limits[lang] = float(1 / (1 + np.exp(-best_cut(z[mine], y[mine]))))
+    counts = F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    found = chunks.mapInArrow(logits, "lang string, place int, toxic long").withColumn("clean", 1 - F.col("toxic"))
+    found = scratch.save(found.groupBy("lang", "place").agg(*counts), "logits")
+
+    def cut(rows: list[Row]) -> float:
+        z, toxic, clean = np.array(sorted((r["place"], r["toxic"], r["clean"]) for r in rows)).T
+        return best_cut(z / BINS, toxic, clean)
+
+    every = found.groupBy("place").agg(*counts).collect()
+    if any(r["toxic"] for r in every) and any(r["clean"] for r in every):
+        model.bias -= (shift := cut(every))
+        enough = found.groupBy("lang").agg(*counts).where(F.col("lang").isNotNull() & (F.least("toxic", "clean") >= 20)).select("lang")
+        own: dict[str, list[Row]] = {}
+        for r in found.join(enough, "lang", "left_semi").collect():
+            own.setdefault(r["lang"], []).append(r)
+        limits = {lang: float(1 / (1 + np.exp(shift - cut(own[lang])))) for lang in sorted(own)}
+    scratch.drop("logits")
     scratch.drop("labels", "chunks")
     return model, limits
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest stretch of cuts with the fewest errors, both classes weighed alike."""
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    wrong = np.r_[0, np.cumsum(y)] / max(1, y.sum()) + ((~y).sum() - np.r_[0, np.cumsum(~y)]) / max(1, (~y).sum())
+def best_cut(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The middle of the widest stretch of cuts with the fewest errors, both classes weighed alike; z ascends without repeats, with the documents of each class at it."""
+    wrong = np.r_[0, np.cumsum(toxic)] / max(1, toxic.sum()) + (clean.sum() - np.r_[0, np.cumsum(clean)]) / max(1, clean.sum())
     edges = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     width = np.r_[0, np.diff(z), 0]

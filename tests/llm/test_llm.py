@@ -606,6 +606,20 @@ def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
     assert model.score(read("stone vile")) > 0.5 > model.score(read("stone fine"))
 
 
+def test_toxicity_thresholds_count_all_and_never_part_ties(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        z, y = rng.integers(-6, 7, 80) / 2, rng.random(80) < 0.4
+        places = np.unique(z)
+        cut = toxicity.best_cut(places, *(np.array([((z == p) & (y == c)).sum() for p in places]) for c in (True, False)))
+        wrong = lambda c: (z[y] < c).sum() / max(1, y.sum()) + (z[~y] >= c).sum() / max(1, (~y).sum())
+        assert cut not in places and wrong(cut) <= min(map(wrong, [*places, places[-1] + 1])) + 1e-9
+    rows = [(i, "vile house" if i % 2 else "fine house", lang, i % 2) for i, lang in zip(range(600), ["en", None, "de", "en", "fr", "None"] * 100, strict=True)]
+    docs = spark.createDataFrame([r if r[2] != "fr" or r[0] < 60 else (*r[:2], "en", r[3]) for r in rows], "doc_id long, text string, lang string, toxic int")
+    _, limits = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert set(limits) == {"en"} and 0 < limits["en"] < 1  # the other languages have one class only, or few documents
+
+
 def test_license_scan(docs, hard, none, spark):
     notice, long = licenses.TEMPLATES["mit-notice"], licenses.TEMPLATES["mit"]
     changed = long.replace("free of charge", "without fee").replace("Software without", "Software entirely without")
