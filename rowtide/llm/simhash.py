@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, partitions, text_rows
@@ -17,6 +17,8 @@ SEED, RADIUS = 42, 4
 #: Fingerprints of one side of a comparison; larger nodes of the index are dealt out as pairs of chunks.
 CHUNK = 16_384
 FANOUT, PAIRS = 16, 1 << 16
+#: Shingles of the sets of one side of a comparison, at most (but for a single set), and pairs of sets that are counted between two looks at what is linked.
+HELD, AT_ONCE = 8_000_000, 4096
 #: Shingles of many texts whose numbers are known to all tasks, at most, and texts of the sample that they are counted in; they stand last in the order of shingles.
 COMMON, ORDERED_BY = 50_000, 20_000
 #: Sets of fewer shingles are compared whatever their fingerprints; others only if these differ in at most so many of 64, and of 128, bits. At a
@@ -188,18 +190,21 @@ def views(radius: int, free: int = 2) -> list[int]:
     return [sum(c) for c in combinations(masks, free)]
 
 
-def dealt(rooted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows with ``root`` and ``cid`` in tasks by (root, pair), sorted: a root over CHUNK rows is dealt out as pairs of its chunks."""
+def paired(rooted: DataFrame, scratch: Scratch, name: str, size: Column | None = None) -> DataFrame:
+    """Rows with ``root`` and ``cid``, and ``pair``: a root over CHUNK rows, or whose sizes sum to over HELD, is dealt out as pairs of its chunks."""
     columns = rooted.columns
-    large = rooted.groupBy("root").count().where(F.col("count") > CHUNK).select("root", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    large = scratch.save(large, name)
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(size) / HELD) if size is not None else F.lit(1))
+    large = scratch.save(rooted.groupBy("root").agg(chunks.cast("int").alias("chunks")).where("chunks > 1"), name)
     if large.isEmpty():
-        rooted = rooted.withColumn("pair", F.lit(0))
-    else:
-        rooted = rooted.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")
-        rooted = rooted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rooted = rooted.select(*columns, (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
+        return rooted.withColumn("pair", F.lit(0))
+    rooted = rooted.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int")
+    rooted = rooted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rooted.select(*columns, (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"))
+
+
+def dealt(rooted: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of :func:`paired` in tasks by (root, pair), sorted."""
     return rooted.repartition(partitions(scratch.spark), "root", "pair").sortWithinPartitions("root", "pair")
 
 
@@ -228,7 +233,7 @@ def hamming_links(classes: DataFrame, radius: int, scratch: Scratch) -> DataFram
             a, b = spanning(group, t.column("fp").to_numpy().view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(cid[a]), pa.array(cid[b])], ["a", "b"])
 
-    return dealt(rooted, scratch, "large-roots").mapInArrow(run, "a long, b long")
+    return dealt(paired(rooted, scratch, "large-roots"), scratch).mapInArrow(run, "a long, b long")
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -316,13 +321,19 @@ def close(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     return rows.where((F.least("na", "nb") < SMALL) | (apart <= APART[1])).select("a", "b")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least the given one, counted shingle by shingle."""
+def sets_of(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(cid, shingles): the sets of those that are asked for."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingle_set(x.as_py(), words).tobytes() for x in b.column("body")], pa.binary())], ["cid", "shingles"])
 
+    return among(rows.select(F.col("row").alias("cid"), "body"), "cid", asked).mapInArrow(sets, "cid long, shingles binary")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least the given one, counted shingle by shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -333,44 +344,83 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, s
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), f"{name}-asked")
-    few = among(rows.select(F.col("row").alias("cid"), "body"), "cid", asked).mapInArrow(sets, "cid long, shingles binary")
-    few = scratch.save(few, f"{name}-sets")
+    few = scratch.save(sets_of(rows, asked, words), f"{name}-sets")
     both = pairs.join(few.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(few.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), name)
     scratch.drop(f"{name}-asked", f"{name}-sets")
     return out
 
 
-def open_pairs(rows: DataFrame, found: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs below one root that no chain of links in ``found`` connects yet, and that sizes and fingerprints allow to be similar.
-
-    The fingerprints of the sets are searched in the :class:`GrayIndex`.
+class Sets:
+    """Sets at hand, their shingles numbered."""
+
+    def __init__(self, shingles: list[bytes]):
+        self.n = np.array([len(x) // 8 for x in shingles], dtype=np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        known, self.codes = np.unique(np.frombuffer(b"".join(shingles), dtype=np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(known), dtype=bool)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many shingles the sets of each pair share."""
+        out, order = np.zeros(len(i), dtype=np.int64), np.argsort(i, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+            own = self.codes[self.first[i[at[0]]] :][: self.n[i[at[0]]]]
+            self.mark[own] = True
+            n = self.n[j[at]]
+            ends = np.cumsum(n)
+            if ends[-1]:
+                hits = self.mark[self.codes[np.repeat(self.first[j[at]] - (ends - n), n) + np.arange(ends[-1])]]
+                sums = np.r_[0, np.cumsum(hits)]
+                out[at] = sums[ends] - sums[ends - n]
+            self.mark[own] = False
+        return out
+
+
+def open_links(rows: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): least members of components in ``found`` that a chain of further links below one root connects.
+
+    What the :class:`GrayIndex` over the sets' fingerprints finds close, and sizes allow to be similar, is counted on the whole
+    sets in the root's task, unless links have connected it by then. A root gives fewer rows than it has components,
+    however many pairs of its sets are close.
     """
     rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("least", "cid", F.coalesce("component", "cid").alias("component"))
     rows = scratch.save(rows, "open-rows")
     apart = rows.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("least")
-    rows = rows.join(apart, "least").join(classes.select("cid", "n", "x1", "x2"), "cid")
+    rows = scratch.save(rows.join(apart, "least").join(classes.select("cid", "n", "x1", "x2"), "cid"), "open-sized")
+    asked = scratch.save(rows.select("cid").distinct(), "open-asked")
+    sets = scratch.save(sets_of(texts, asked, words), "open-sets")
     kinds = F.when(F.col("n") < SMALL, F.array(F.lit(0))).when(F.col("n") * similarity > SMALL, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
     rows = rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("least", "kind")).drop("least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in rooted_groups(batches):
-            cid, component, n, kind = (t.column(c).to_numpy() for c in ("cid", "component", "n", "kind"))
+            component, n, kind = (t.column(c).to_numpy() for c in ("component", "n", "kind"))
             x1, x2 = (t.column(c).to_numpy().view(np.uint64) for c in ("x1", "x2"))
+            held = Sets(t.column("shingles").to_pylist())
+            trees, tree = np.unique(np.stack([group, component]), axis=1, return_inverse=True)  # a component in another group is another tree
+            tree, forest = tree.ravel(), Forest(trees.shape[1])
             for k, radius in enumerate((64, APART[0])):
                 own = np.flatnonzero(kind == k)
                 if not len(own):
                     continue
                 for i, j in GrayIndex(group[own], x1[own]).pairs(radius):
                     i, j = own[i], own[j]
-                    keep = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                    keep = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
                     if k:
                         keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
-                    if keep.any():
-                        a, b = cid[i[keep]], cid[j[keep]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    i, j = i[keep], j[keep]
+                    while len(i):
+                        apart = forest.up[tree[i]] != forest.up[tree[j]]
+                        i, j = i[apart], j[apart]
+                        a, b, i, j = i[:AT_ONCE], j[:AT_ONCE], i[AT_ONCE:], j[AT_ONCE:]
+                        both = held.common(a, b)
+                        links = both >= similarity * (n[a] + n[b] - both) - 1e-9
+                        forest.link(tree[a[links]], tree[b[links]])
+            linked = np.flatnonzero(forest.up != np.arange(len(forest.up)))
+            yield pa.RecordBatch.from_arrays([pa.array(trees[1, forest.up[linked]]), pa.array(trees[1, linked])], ["a", "b"])
 
-    return dealt(rows, scratch, "open-roots").mapInArrow(run, "a long, b long").distinct()
+    rows = paired(rows, scratch, "open-roots", F.col("n")).join(sets, "cid")
+    return dealt(rows, scratch).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -378,7 +428,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: f
 
     A rare shingle's sets stand below the least of them, which is their root: sets that share one have a root in common, and
     sets that share many have few. All sets of a root are compared with it first; then, among what those links leave apart,
-    whatever the index over the sets' fingerprints finds close is.
+    whatever the index over the sets' fingerprints finds close is, until links connect it.
     """
     members = rows.select(F.col("row").alias("cid"), "firsts").join(classes.select("cid"), "cid", "left_semi").select("cid", F.explode("firsts").alias("shingle"))
     members = scratch.save(members, "members")
@@ -388,8 +438,8 @@ def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: f
     first = scratch.save(close(roots.where("cid != least").select(F.col("least").alias("a"), F.col("cid").alias("b")), classes, similarity), "first")
     near = verified(first, rows, words, similarity, scratch, "near-first")
     found = components(near, scratch, "cc-first")
-    rest = scratch.save(open_pairs(roots, found, classes, similarity, scratch), "rest")
-    rest = verified(rest, rows, words, similarity, scratch, "near-rest")
+    rest = scratch.save(open_links(roots, found, classes, rows, words, similarity, scratch), "rest")
+    scratch.drop("open-rows", "open-sized", "open-asked", "open-sets", "open-roots")
     return near.unionByName(rest)
 
 
@@ -426,6 +476,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first")["row"].alias("kept_row"))
         more = ["mark", (F.col("row") == F.col("kept_row")).alias("kept")]
     named = scratch.save(grouped.join(least, "component").select(*key, *least.columns[1:]), "named")
-    scratch.drop("classes", "links", "large-roots", "roots", "first", "near-first", "near-rest", "open-rows", "open-roots", "rest")  # nothing reads them any more
+    scratch.drop("classes", "links", "large-roots", "roots", "first", "near-first", "rest")  # nothing reads them any more
     rows = fps.join(named, key)
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)

@@ -1,8 +1,11 @@
 """The corpus pipeline, stage by stage, and its hard cases."""
 
+import random
+
 import corpus_pipeline
 from test_llm import HARD, check_packing, union
 
+from rowtide.llm import simhash
 from rowtide.llm.common import Scratch
 
 
@@ -53,3 +56,32 @@ def test_hard_cases(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, sf)
             assert out.count() >= 0, name
+
+
+def test_rows_of_a_group_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    """Variants of one text, most of them a little under 0.8 alike, others over: the components of all pairs, by fewer rows than texts."""
+    rng, rows = random.Random(4), []
+    base = [f"word{i}" for i in range(150)]
+    for i in range(200):
+        own = list(rows[-1][1].split()) if i % 5 == 4 else list(base)
+        for k in rng.sample(range(150), 1 if i % 5 == 4 else rng.choice([2, 3, 4])):
+            own[k] = f"other{i}x{k}"
+        rows.append((i, " ".join(own)))
+    saved, save = {}, Scratch.save
+
+    def spy(self, df, name, *args, **kwargs):
+        out = save(self, df, name, *args, **kwargs)
+        if name == "rest":
+            saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for chunk in (simhash.CHUNK, 16):  # whole, and dealt out as pairs of chunks
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=5, similarity=0.8).collect()}
+        sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+        pairs = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        assert got == union(pairs, sorted(sets)) and 20 < len(set(got.values())) < 180
+        if chunk > 16:
+            assert saved["rest"] < len(rows)
