@@ -19,6 +19,8 @@ CHUNK = 16_384
 FANOUT, PAIRS = 16, 1 << 16
 #: Shingles of the sets of one side of a comparison, at most (but for a single set), and pairs of sets that are counted between two looks at what is linked.
 HELD, AT_ONCE = 8_000_000, 4096
+#: Close pairs a row up to which a root's pairs are given out to be counted; the sets of other roots go to the root.
+DENSE = 4
 #: Shingles of many texts whose numbers are known to all tasks, at most, and texts of the sample that they are counted in; they stand last in the order of shingles.
 COMMON, ORDERED_BY = 50_000, 20_000
 #: Sets of fewer shingles are compared whatever their fingerprints; others only if these differ in at most so many of 64, and of 128, bits. At a
@@ -376,51 +378,75 @@ class Sets:
         return out
 
 
+def close_lots(group: np.ndarray, t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs of a group that sizes and fingerprints allow to be similar, in bounded lots."""
+    n, kind = t.column("n").to_numpy(), t.column("kind").to_numpy()
+    x1, x2 = (t.column(c).to_numpy().view(np.uint64) for c in ("x1", "x2"))
+    for k, radius in enumerate((64, APART[0])):
+        own = np.flatnonzero(kind == k)
+        if not len(own):
+            continue
+        for i, j in GrayIndex(group[own], x1[own]).pairs(radius):
+            i, j = own[i], own[j]
+            keep = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            if k:
+                keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
+            yield i[keep], j[keep]
+
+
 def open_links(rows: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b): least members of components in ``found`` that a chain of further links below one root connects.
+    """(a, b): links that connect what no chain of links in ``found`` does yet, below one root.
 
     What the :class:`GrayIndex` over the sets' fingerprints finds close, and sizes allow to be similar, is counted on the whole
-    sets in the root's task, unless links have connected it by then. A root gives fewer rows than it has components,
-    however many pairs of its sets are close.
+    sets. A root with up to DENSE such pairs a row gives the pairs; of any other the sets go to its task, where each pair is
+    counted that links have not connected by then, and least members of components come out, fewer than its rows.
     """
     rows = rows.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").select("least", "cid", F.coalesce("component", "cid").alias("component"))
     rows = scratch.save(rows, "open-rows")
     apart = rows.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("least")
-    rows = scratch.save(rows.join(apart, "least").join(classes.select("cid", "n", "x1", "x2"), "cid"), "open-sized")
-    asked = scratch.save(rows.select("cid").distinct(), "open-asked")
-    sets = scratch.save(sets_of(texts, asked, words), "open-sets")
+    rows = rows.join(apart, "least").join(classes.select("cid", "n", "x1", "x2"), "cid")
     kinds = F.when(F.col("n") < SMALL, F.array(F.lit(0))).when(F.col("n") * similarity > SMALL, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    rows = rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("least", "kind")).drop("least")
+    rows = scratch.save(rows.withColumn("kind", F.explode(kinds)).withColumn("root", F.xxhash64("least", "kind")).drop("least"), "open-sized")
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, t in rooted_groups(batches):
+            cid, component, root = (t.column(c).to_numpy() for c in ("cid", "component", "root"))
+            most, count, held = DENSE * np.bincount(group), np.zeros(group[-1] + 1, np.int64), np.zeros((2, 0), np.int64)
+            for i, j in close_lots(group, t, similarity):
+                apart = component[i] != component[j]
+                count += np.bincount(group[i[apart]], minlength=len(count))
+                held = np.concatenate([held, [i[apart], j[apart]]], axis=1)
+                held = held[:, (count <= most)[group[held[0]]]]
+            a, b, dense = cid[held[0]], cid[held[1]], np.unique(root[(count > most)[group]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], ["a", "b", "root"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(dense), pa.int64()), pa.nulls(len(dense), pa.int64()), pa.array(dense)], ["a", "b", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in rooted_groups(batches):
-            component, n, kind = (t.column(c).to_numpy() for c in ("component", "n", "kind"))
-            x1, x2 = (t.column(c).to_numpy().view(np.uint64) for c in ("x1", "x2"))
+            component, n = (t.column(c).to_numpy() for c in ("component", "n"))
             held = Sets(t.column("shingles").to_pylist())
             trees, tree = np.unique(np.stack([group, component]), axis=1, return_inverse=True)  # a component in another group is another tree
             tree, forest = tree.ravel(), Forest(trees.shape[1])
-            for k, radius in enumerate((64, APART[0])):
-                own = np.flatnonzero(kind == k)
-                if not len(own):
-                    continue
-                for i, j in GrayIndex(group[own], x1[own]).pairs(radius):
-                    i, j = own[i], own[j]
-                    keep = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
-                    if k:
-                        keep &= np.bitwise_count(x1[i] ^ x1[j]).astype(int) + np.bitwise_count(x2[i] ^ x2[j]) <= APART[1]
-                    i, j = i[keep], j[keep]
-                    while len(i):
-                        apart = forest.up[tree[i]] != forest.up[tree[j]]
-                        i, j = i[apart], j[apart]
-                        a, b, i, j = i[:AT_ONCE], j[:AT_ONCE], i[AT_ONCE:], j[AT_ONCE:]
-                        both = held.common(a, b)
-                        links = both >= similarity * (n[a] + n[b] - both) - 1e-9
-                        forest.link(tree[a[links]], tree[b[links]])
+            for i, j in close_lots(group, t, similarity):
+                while len(i):
+                    apart = forest.up[tree[i]] != forest.up[tree[j]]
+                    i, j = i[apart], j[apart]
+                    a, b, i, j = i[:AT_ONCE], j[:AT_ONCE], i[AT_ONCE:], j[AT_ONCE:]
+                    both = held.common(a, b)
+                    links = both >= similarity * (n[a] + n[b] - both) - 1e-9
+                    forest.link(tree[a[links]], tree[b[links]])
             linked = np.flatnonzero(forest.up != np.arange(len(forest.up)))
             yield pa.RecordBatch.from_arrays([pa.array(trees[1, forest.up[linked]]), pa.array(trees[1, linked])], ["a", "b"])
 
-    rows = paired(rows, scratch, "open-roots", F.col("n")).join(sets, "cid")
-    return dealt(rows, scratch).mapInArrow(run, "a long, b long").distinct()
+    close = scratch.save(dealt(paired(rows, scratch, "open-roots"), scratch).mapInArrow(few, "a long, b long, root long").distinct(), "close")
+    links = verified(close.where("root is null").select("a", "b"), texts, words, similarity, scratch, "near-rest")
+    rows = scratch.save(rows.join(close.where("root is not null").select("root"), "root", "left_semi"), "open-dense")
+    if rows.isEmpty():
+        return links
+    asked = scratch.save(rows.select("cid").distinct(), "open-asked")
+    sets = scratch.save(sets_of(texts, asked, words), "open-sets")
+    rows = paired(rows, scratch, "dense-roots", F.col("n")).join(sets, "cid")
+    return links.unionByName(dealt(rows, scratch).mapInArrow(run, "a long, b long").distinct())
 
 
 def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -439,7 +465,7 @@ def similar_links(rows: DataFrame, classes: DataFrame, words: int, similarity: f
     near = verified(first, rows, words, similarity, scratch, "near-first")
     found = components(near, scratch, "cc-first")
     rest = scratch.save(open_links(roots, found, classes, rows, words, similarity, scratch), "rest")
-    scratch.drop("open-rows", "open-sized", "open-asked", "open-sets", "open-roots")
+    scratch.drop("open-rows", "open-sized", "open-asked", "open-sets", "open-roots", "open-dense", "dense-roots", "close", "near-rest")
     return near.unionByName(rest)
 
 
