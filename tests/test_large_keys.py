@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 
 from rowtide.plans.queries import QUERIES, SQL
+from rowtide.sources.binlog import BinlogSource, Stretch, shares
 
 
 def same_as_sql(spark, tmp_path, name, table, rows):
@@ -27,3 +28,33 @@ def test_times_beyond_their_types(spark, tmp_path):
     at = "(SELECT unnest([0, 4020, 8380, 38130, 500000, 2921340, 7200000]) + r.i AS k FROM range(20) r(i))"
     got = same_as_sql(spark, tmp_path, "x12_times_of_log", "part", PARTS + at)
     assert len(got) == 140 and max(len(r[3]) for r in got) == 20  # a year of five digits
+
+
+def test_many_files_are_read_in_one_scan(spark, tmp_path):
+    """Twelve files, each read in several blocks; the plan has one scan a use of the lines, however many files there are."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        same_as_sql(spark, tmp_path, "k1_file_of_log", "part", PARTS + "(SELECT range AS k FROM range(6000) WHERE range % 500 < 150)")
+        plan = QUERIES["k1_file_of_log"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tasks_grow_with_bytes_not_with_cut_points():
+    """14,400 logs of three stretches each, as 6 GB have them."""
+    stretches = [Stretch(f"/logs/x.{i}", f"x.{i}", i, k, 4 + 20_000 * k, None, 0, 0) for i in range(14_400) for k in range(3)]
+    made = shares(stretches, [20_000] * len(stretches))
+    assert [s for share in made for s in share.stretches] == stretches
+    assert len(made) <= 210
+    assert len(shares(stretches[:3], [40 << 20] * 3)) == 3
+
+
+def test_tasks_are_not_sent_all_cut_points(tmp_path):
+    import pickle
+
+    (tmp_path / "x.1").write_bytes(b"\xfebin")
+    source = BinlogSource({"path": str(tmp_path), "ranges": '{"x.1": [[100], [3, 4], [2, 2]]}'})
+    reader = source.reader(None)
+    assert [(s.start, s.end, s.trx) for p in reader.partitions() for s in p.stretches] == [(4, 100, 0), (100, None, 3)]
+    assert b"ranges" not in pickle.dumps(reader) and b"ranges" not in pickle.dumps(source)
