@@ -6,6 +6,7 @@ import duckdb
 
 from rowtide.plans.queries import QUERIES, SQL
 from rowtide.sources.binlog import BinlogSource, Stretch, shares
+from rowtide.sources.writer import Log
 
 
 def same_as_sql(spark, tmp_path, name, table, rows):
@@ -58,3 +59,30 @@ def test_tasks_are_not_sent_all_cut_points(tmp_path):
     reader = source.reader(None)
     assert [(s.start, s.end, s.trx) for p in reader.partitions() for s in p.stretches] == [(4, 100, 0), (100, None, 3)]
     assert b"ranges" not in pickle.dumps(reader) and b"ranges" not in pickle.dumps(source)
+
+
+def test_log_is_built_in_linear_time():
+    """A log of a server's usual size, as o2_undo_file_of_log writes it in one file."""
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        log, began = Log(), time.perf_counter()
+        for _ in range(n):
+            log.xid(1)
+        took.append(time.perf_counter() - began)
+        assert len(log.data) > n * 27
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_log_goes_on_behind_what_was_taken(spark, tmp_path):
+    """One log of more rows than are built at once."""
+    whole, parted = Log(crc=True), Log(crc=True)
+    out = b""
+    for k in range(7):
+        for log in (whole, parted):
+            log.begin(k)
+            log.xid(k)
+        out += parted.take() if k % 3 == 0 else b""
+    assert out + parted.take() == whole.data
+    same_as_sql(spark, tmp_path, "o2_undo_file_of_log", "part", PARTS + "(SELECT range AS k FROM range(20500))")
