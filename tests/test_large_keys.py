@@ -86,3 +86,7 @@ def test_log_goes_on_behind_what_was_taken(spark, tmp_path):
         out += parted.take() if k % 3 == 0 else b""
     assert out + parted.take() == whole.data
     same_as_sql(spark, tmp_path, "o2_undo_file_of_log", "part", PARTS + "(SELECT range AS k FROM range(20500))")
+
+
+def test_file_numbers_of_seven_digits(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "x21_file_number", "part", PARTS + "(SELECT unnest([0, 999990, 1234560]) + r.i AS k FROM range(20) r(i))")
