@@ -90,3 +90,8 @@ def test_log_goes_on_behind_what_was_taken(spark, tmp_path):
 
 def test_file_numbers_of_seven_digits(spark, tmp_path):
     same_as_sql(spark, tmp_path, "x21_file_number", "part", PARTS + "(SELECT unnest([0, 999990, 1234560]) + r.i AS k FROM range(20) r(i))")
+
+
+def test_moments_in_years_of_five_digits(spark, tmp_path):
+    rows = "SELECT unnest([0, 2900000, 2913790, 6000000, 36000000]) + r.i AS event_id FROM range(20) r(i)"
+    assert any(r[0][4] != "-" for r in same_as_sql(spark, tmp_path, "x7_datetime", "events", rows))
