@@ -41,6 +41,17 @@ def number(feed: DataFrame, part: str = "file_ord", order: tuple[str, ...] = ("p
 
 
 def segments(feed: DataFrame, part: str = "file_ord", order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """``segment``: number of the contiguous run of one binlog name, over the whole feed."""
-    changed = F.when(F.lag("binlog").over(W.partitionBy(part).orderBy(*order)).eqNullSafe(F.col("binlog")), 0).otherwise(1)
-    return running(feed, changed, "segment", part, order)
+    """``segment``: number of the contiguous run of one binlog name, over the whole feed.
+
+    Counted within each part; a part's first row is compared with the last row of the part before, in a table of one row a part.
+    """
+    within, parts, place = W.partitionBy(part).orderBy(*order), W.orderBy(part), F.struct(*order)
+    same = (F.row_number().over(within) == 1) | F.lag("binlog").over(within).eqNullSafe(F.col("binlog"))
+    totals = feed.withColumn("_step", F.when(same, 0).otherwise(1)).groupBy(part).agg(F.sum("_step").alias("_n"), F.min_by("binlog", place).alias("_first"), F.max_by("binlog", place).alias("_last"))
+    goes_on = (F.row_number().over(parts) > 1) & F.lag("_last").over(parts).eqNullSafe(F.col("_first"))
+    totals = totals.withColumn("_start", F.when(goes_on, 0).otherwise(1))
+    before = F.coalesce(F.sum("_n").over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.sum("_start").over(parts.rowsBetween(W.unboundedPreceding, 0))
+    earlier = totals.select(part, before.alias("_before"))
+    own = F.sum("_step").over(within.rowsBetween(W.unboundedPreceding, 0))
+    out = feed.withColumn("_step", F.when(same, 0).otherwise(1)).withColumn("_own", own).join(earlier, part)
+    return out.withColumn("segment", (F.col("_own") + F.col("_before")).cast("long")).drop("_step", "_own", "_before")

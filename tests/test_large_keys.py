@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 
+from rowtide.operators.trx import segments
 from rowtide.plans.queries import QUERIES, SQL
 from rowtide.sources.binlog import BinlogSource, Stretch, shares
 from rowtide.sources.writer import Log
@@ -95,3 +96,18 @@ def test_file_numbers_of_seven_digits(spark, tmp_path):
 def test_moments_in_years_of_five_digits(spark, tmp_path):
     rows = "SELECT unnest([0, 2900000, 2913790, 6000000, 36000000]) + r.i AS event_id FROM range(20) r(i)"
     assert any(r[0][4] != "-" for r in same_as_sql(spark, tmp_path, "x7_datetime", "events", rows))
+
+
+def test_segments_go_on_over_parts(spark):
+    """Runs of one name that end with a part, go on into the next, or span a whole part; no window takes the whole feed."""
+    names = [["a", "a", "b"], ["b"], ["b", None], [None, "a"], ["b"]]
+    rows = [(p, i, n) for p, part in enumerate(names) for i, n in enumerate(part)]
+    df = segments(spark.createDataFrame(rows, "file_ord int, pos int, binlog string"))
+    assert [r["segment"] for r in df.orderBy("file_ord", "pos").collect()] == [1, 1, 2, 2, 2, 3, 3, 4, 5]
+
+
+def test_no_task_of_segments_takes_the_whole_feed(spark, sf_dir):
+    import re
+
+    plan = QUERIES["w6_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window .*\[whole#", plan) and re.search(r"Window .*\[log#", plan)
